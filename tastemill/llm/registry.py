@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import digest_tree
+from . import bpe_codec, digest_tree
 
-MODULES = (digest_tree,)
+MODULES = (bpe_codec, digest_tree)
 
 
 def queries() -> dict:
