@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, digest_tree
+from . import bpe_codec, digest_tree, pii_spans
 
-MODULES = (bpe_codec, digest_tree)
+MODULES = (pii_spans, bpe_codec, digest_tree)
 
 
 def queries() -> dict:
