@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, digest_tree, pii_spans
+from . import bpe_codec, digest_tree, pii_spans, url_model
 
-MODULES = (pii_spans, bpe_codec, digest_tree)
+MODULES = (pii_spans, bpe_codec, url_model, digest_tree)
 
 
 def queries() -> dict:
