@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, digest_tree, pii_spans, toxicity_pu, url_model
+from . import bpe_codec, digest_tree, parity_join, pii_spans, toxicity_pu, url_model
 
-MODULES = (toxicity_pu, pii_spans, bpe_codec, url_model, digest_tree)
+MODULES = (toxicity_pu, pii_spans, bpe_codec, url_model, parity_join, digest_tree)
 
 
 def queries() -> dict:

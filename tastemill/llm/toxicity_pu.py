@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             z = logits(batch.column(1).cast(pa.binary()).to_pylist(), shared.value)
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            p = np.exp(-np.logaddexp(0, -z))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -202,7 +202,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches):
         for batch in batches:
             z = logits(batch.column(at).cast(pa.binary()).to_pylist(), shared.value)
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            p = np.exp(-np.logaddexp(0, -z))
             yield batch.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)
