@@ -4,9 +4,17 @@ A text is the set of its distinct word shingles (hashed to 64 bits).  Each
 shingle flips one bit of a sketch, so two sketches differ in at most as many bits
 as the sets have elements that are not shared.  Two sets of sizes a and b with
 Jaccard similarity t or more differ in at most d = (1-t)/(1+t) (a+b) elements; a
-band of sizes has one d, its sketch has d+1 blocks of 64 bits, and two linked
-sets must agree in at least one block.  A set is entered in its own band and,
-where a smaller partner can be in the band below, in that one too.
+band of sizes has one d, its sketch has d+r blocks, and two linked sets must
+agree in at least r blocks.  A set is entered in its own band and, where a
+smaller partner can be in the band below, in that one too.  A block is 2**32 bits
+wide, so few bits are set and it is kept as what a join compares: the XOR of a
+64-bit hash of each odd bit's place, in which two flips of a bit cancel out.
+
+Blocks without a bit are empty in many unrelated sets.  A set with fewer than r
+of them is entered by its other blocks only, for one of those is among the r.  A
+set with r or more is also entered by its empty blocks: if linked sets agree in
+empty blocks only, these are at least r of either's, so the first ones of both,
+all but r - k, share at least k, and each choice of k of them is a key.
 
 Blocks that agree gather sets into coarse clusters, which can't cut a link.  In
 a cluster, links are decided exactly: relative to a pivot set, each set is what
@@ -31,6 +39,7 @@ doc_id and text are not read.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +52,12 @@ from .storage import settled, table
 
 WORDS = 5
 SIMILARITY = (80, 100)
-BAND = 1.35
+BAND = 1.25
+TOGETHER = 4
 TASK_DOCS = 4096
 TASK_SHINGLES = 4_000_000
 SALTS = 32
+SIEVE_BITS = 1 << 25
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -91,9 +102,12 @@ class Bands:
         """The most elements in which linked sets of these sizes differ."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
-    def blocks(self, band: int) -> int:
+    def shape(self, band: int) -> tuple[int, int]:
+        """Blocks of the band's sketch, and in how many of them linked sets agree at least."""
         top = self.edges[band + 1] - 1
-        return self.differing(top, self.partner(top)) + 1
+        d = self.differing(top, self.partner(top))
+        r = -(-d // 10) + 2
+        return d + r, r
 
     def of(self, n: int) -> list[int]:
         """Sets below the first edge are linked to equal sets only."""
@@ -108,21 +122,39 @@ def bands(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def sketch(shingles: np.ndarray, blocks: int) -> np.ndarray:
-    """The parity sketch, as blocks of 64 bits."""
-    bits = ((shingles >> np.uint64(32)) * np.uint64(blocks * 64)) >> np.uint64(32)
-    odd = np.bincount(bits.astype(np.int64), minlength=blocks * 64) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def sketch(shingles: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parity sketch of a sorted set: for each block the XOR of its bits' hashes, and whether it has none."""
+    block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # rises with the shingles
+    bit = mixed((block << np.uint64(32) | shingles & np.uint64(0xFFFFFFFF)) ^ _ODD[4])
+    edge = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+    empty = edge[1:] == edge[:-1]
+    folded = np.zeros(blocks, np.uint64)
+    folded[~empty] = np.bitwise_xor.reduceat(bit, edge[:-1][~empty])
+    return folded, empty | (folded == 0)
+
+
+def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    """The keys a set is entered by: one for each block with a bit, and for choices of empty ones where they are many."""
+    keys = []
+    for band in bands.of(len(shingles)):
+        blocks, least = bands.shape(band)
+        folded, empty = sketch(shingles, blocks)
+        place = np.full(blocks, band, np.uint64) << np.uint64(32) | np.arange(blocks, dtype=np.uint64)
+        keys.append(mixed(folded ^ mixed(place + _ODD[0]))[~empty])
+        none = np.flatnonzero(empty)
+        if len(none) >= least:
+            k = min(TOGETHER, least)
+            chosen = [hash_of(place[list(c)]) for c in combinations(none[: len(none) - least + k].tolist(), k)]
+            keys.append(np.array(chosen, np.uint64))
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def block_keys(shingles: np.ndarray, shape: Bands) -> np.ndarray:
-    """One key for each block of each band the set is entered in."""
-    keys = [
-        mixed(mixed(sketch(shingles, b) + _ODD[1]) ^ (np.uint64(band << 32) + np.arange(b, dtype=np.uint64)) * _ODD[0])
-        for band in shape.of(len(shingles))
-        for b in (shape.blocks(band),)
-    ]
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+def hash_of(places: np.ndarray) -> int:
+    """One hash of several places of empty blocks."""
+    total = np.uint64(len(places))
+    for p in places:
+        total = mixed(np.array([total ^ p], np.uint64) + _ODD[6])[0]
+    return int(total)
 
 
 def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -202,9 +234,30 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     return links
 
 
+def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that can be members, by a bitmap of SIEVE_BITS hashed ids; its size is fixed."""
+    place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(SIEVE_BITS))
+    at = members.select((place("doc_id") + 1).alias("h"))  # bucket numbers and positions count from value 1
+    parts = at.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    whole = np.zeros(SIEVE_BITS // 8 + 4096, np.uint8)
+    for r in parts.collect():  # at most SIEVE_BITS / 32768 rows of 4 KiB
+        own = np.frombuffer(r.bits, np.uint8)
+        whole[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(own)] |= own
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array((shared.value[h >> 3] >> (h & 7)) & 1 == 1))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.withColumn("h", place("doc_id")).mapInArrow(run, f"doc_id {kind}, text string")
+
+
 def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """a, b: links that connect what is connected in each task of ``members`` (doc_id, task)."""
-    rows = docs.select("doc_id", "text").join(members, "doc_id").select("task", "doc_id", "text")
+    likely = _sieved(docs.select("doc_id", "text"), members)
+    rows = likely.join(members, "doc_id").select("task", "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def decide(own: list) -> list[tuple]:
