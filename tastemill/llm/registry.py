@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, contamination_index, digest_tree, html_differencing, parity_join, pii_spans, toxicity_pu, url_model
+from . import (
+    bpe_codec,
+    contamination_index,
+    digest_tree,
+    html_differencing,
+    licence_classifier,
+    parity_join,
+    pii_spans,
+    toxicity_pu,
+    url_model,
+    warc_zstd,
+)
 
-MODULES = (toxicity_pu, html_differencing, pii_spans, contamination_index, bpe_codec, url_model, parity_join, digest_tree)
+MODULES = (
+    toxicity_pu,
+    html_differencing,
+    pii_spans,
+    warc_zstd,
+    licence_classifier,
+    contamination_index,
+    bpe_codec,
+    url_model,
+    parity_join,
+    digest_tree,
+)
 
 
 def queries() -> dict:
