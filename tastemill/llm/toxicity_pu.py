@@ -149,8 +149,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, steps: int = STEPS,
     kept = [place[r][place[r] >= 0] for r in rows]
     cols = np.concatenate(kept)
     where = np.repeat(np.arange(len(kept)), [len(r) for r in kept])
+    # The step stays below the inverse curvature, which a few power iterations estimate.
+    share = np.where(toxic, 2 * prior / n_p, 1 / n_u)
+    probe, bend = np.ones(len(names) + 1), 1.0
+    for _ in range(12):
+        probe /= np.sqrt((probe**2).sum())
+        along = share * (np.bincount(where, probe[cols], len(kept)) + probe[-1])
+        probe = np.append(np.bincount(cols, along[where], len(names)), along.sum())
+        bend = max(1e-9, 0.25 * np.sqrt((probe**2).sum()))
+    rate = min(rate, 1 / bend)
     w = v = np.zeros(len(names))
-    b = vb = float(np.log(prior / (1 - prior)))
+    # A text without any of the grams is not likelier toxic than the prior has it.
+    b = vb = ceiling = float(np.log(prior / (1 - prior)))
     t = 1.0
     for _ in range(steps):
         z = np.bincount(where, v[cols], len(kept)) + vb
@@ -162,7 +172,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, steps: int = STEPS,
             g += np.where(toxic, -prior * s / n_p, s / n_u)
         step = v - rate * np.bincount(cols, g[where], len(names))
         step = np.sign(step) * np.maximum(0, np.abs(step) - rate * penalty)
-        bias = vb - rate * g.sum()
+        bias = min(ceiling, vb - rate * g.sum())
         longer = (1 + np.sqrt(1 + 4 * t * t)) / 2
         pull = 0.9 * (t - 1) / longer
         v, vb = step + pull * (step - w), bias + pull * (bias - b)
