@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import settled, table
 
 LEAVES = 256
 FAN_IN = 16
@@ -60,8 +60,8 @@ def _merge(runs: DataFrame, node: Column) -> DataFrame:
 
 def deduplicate(docs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
-    # One exchange of slim rows serves both the leaves' runs and the way back down.
-    rows = digested(docs, leaves).repartition(*_KEY)
+    # Texts are read once: what follows works on the slim rows as written.
+    rows = settled(digested(docs, leaves), "digests")
     leaf = _merge(rows.select(*_KEY, F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("rows")), F.col("node"))
     levels, width = [leaf], leaves
     while width > 1:
