@@ -25,7 +25,7 @@ dealt to chunks, and each pair of chunks is a task: the work for a large group i
 spread, its results stay whole.
 
 Equal sets are one class from the start; a class is represented by its smallest
-id, so thousands of copies cost one row in everything above.  No step gathers a
+id, and a task enters a set's keys once, so thousands of copies cost little.  No step gathers a
 key's rows: counts and minima are pre-aggregated, and rows return to their class
 by a salted join.
 
@@ -57,7 +57,7 @@ TOGETHER = 4
 TASK_DOCS = 4096
 TASK_SHINGLES = 4_000_000
 SALTS = 32
-SIEVE_BITS = 1 << 25
+SIEVE_BITS = 1 << 26
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -162,13 +162,16 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         shape = bands(num, den)
+        seen: set[tuple[int, int]] = set()  # a set's keys are needed once in a task
         for batch in batches:
             size, first, second, keys = [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words):
                 size.append(len(s))
                 first.append(np.bitwise_xor.reduce(mixed(s + _ODD[2])).astype(np.int64) if len(s) else 0)
                 second.append(mixed(s ^ _ODD[3]).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                keys.append(block_keys(s, shape).astype(np.int64))
+                new = (int(first[-1]), int(second[-1])) not in seen
+                seen.add((int(first[-1]), int(second[-1])))
+                keys.append((block_keys(s, shape) if new else s[:0]).astype(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
@@ -234,16 +237,21 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     return links
 
 
-def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that can be members, by a bitmap of SIEVE_BITS hashed ids; its size is fixed."""
-    place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(SIEVE_BITS))
-    at = members.select((place("doc_id") + 1).alias("h"))  # bucket numbers and positions count from value 1
+def _sieve(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the values of h, which are below ``bits``; its size is fixed."""
+    at = values.select((F.col("h") + 1).alias("h"))  # bucket numbers and positions count from value 1
     parts = at.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    whole = np.zeros(SIEVE_BITS // 8 + 4096, np.uint8)
-    for r in parts.collect():  # at most SIEVE_BITS / 32768 rows of 4 KiB
-        own = np.frombuffer(r.bits, np.uint8)
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most bits / 32768 rows of 4 KiB
+        own = np.frombuffer(r.bits, np.uint8)[: len(whole) - (r.k - 1) * 4096]
         whole[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(own)] |= own
-    shared = docs.sparkSession.sparkContext.broadcast(whole)
+    return whole
+
+
+def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that can be members, by a bitmap of hashed ids: few texts are left to shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(SIEVE_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(members.select(place("doc_id").alias("h")), SIEVE_BITS))
 
     def run(batches):
         for batch in batches:
@@ -254,6 +262,23 @@ def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.withColumn("h", place("doc_id")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
+def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
+    """d1, key of the keys that can be among those of ``hubs``, by a bitmap of their lowest bits."""
+    mask = SIEVE_BITS - 1
+    shared = profiles.sparkSession.sparkContext.broadcast(_sieve(hubs.select(F.col("key").bitwiseAND(F.lit(mask)).alias("h")), SIEVE_BITS))
+
+    def run(batches):
+        for batch in batches:
+            listed = batch.column(1)
+            keys = listed.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths().fill_null(0)))
+            h = keys & mask
+            at = np.flatnonzero((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(keys[at], pa.int64())], ["d1", "key"])
+
+    return profiles.select("d1", "keys").mapInArrow(run, "d1 long, key long")
+
+
 def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """a, b: links that connect what is connected in each task of ``members`` (doc_id, task)."""
     likely = _sieved(docs.select("doc_id", "text"), members)
@@ -294,22 +319,24 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int
     classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = settled(classes, "classes")
 
-    # Block keys of one row per class; keys that several classes have form stars around their smallest id.
-    ones = profiles.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = ones.select("doc_id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    edges = keyed.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    # Keys of several sets form stars around the set with the smallest digest.  Most
+    # keys are of one set only, so that a bitmap spares them the second shuffle.
+    keyed = profiles.select("d1", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top")).where("hub <> top").select("key", "hub")
+    hubs = settled(hubs, "hubs")
+    edges = _shared_keys(profiles, hubs).join(hubs, "key").where("d1 <> hub").select(F.col("d1").alias("a"), F.col("hub").alias("b")).distinct()
+    # Vertices are digests: where two sets share one, both are in its cluster.
     clusters = settled(components(edges, "clusters"), "clustered")
 
     # Tasks: a cluster, or a pair of its chunks.
-    sizes = classes.select(F.col("rep").alias("v"), "n_shingles").join(clusters, "v")
+    sizes = classes.select("rep", "n_shingles", F.col("d1").alias("v")).join(clusters, "v")
     totals = sizes.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     chunks = F.ceil(F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)).cast("int")
-    placed = clusters.join(totals.select("component", chunks.alias("k")), "component")
-    placed = placed.withColumn("c", F.pmod(F.xxhash64(F.lit(5), "v"), F.col("k")).cast("int"))
+    placed = sizes.join(totals.select("component", chunks.alias("k")), "component")
+    placed = placed.withColumn("c", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("k")).cast("int"))
     placed = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     members = placed.select(
-        F.col("v").alias("doc_id"),
+        F.col("rep").alias("doc_id"),
         F.xxhash64("component", F.least("c", "x"), F.greatest("c", "x")).alias("task"),
     )
     links = settled(_verified(docs.where("doc_id is not null"), members, words, num, den), "links")
