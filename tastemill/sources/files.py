@@ -56,6 +56,8 @@ class _ScanReader(DataSourceReader):
         return out
 
     def read(self, partition):
+        if partition is None:  # no root to enter
+            return
         top, deep = partition.value
         todo = [top]
         while todo:

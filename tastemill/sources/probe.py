@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.media import frame_rate, round2
 
-PROBE = "struct<format:struct<duration:string>,streams:array<struct<codec_type:string,codec_name:string,width:bigint,height:bigint,avg_frame_rate:string>>>"
+PROBE = "struct<format:struct<duration:string>,streams:array<struct<codec_type:string,codec_name:string,width:bigint,height:bigint,avg_frame_rate:string>>,broken:string>"
 COMMAND = ("ffprobe", "-v", "error", "-print_format", "json", "-show_format", "-show_streams")
 
 
@@ -43,14 +43,14 @@ def probe(files: DataFrame, call: Callable[[str], str] = run_program) -> DataFra
 
 def extract(probed: DataFrame) -> DataFrame:
     """path, media, reason: features from the JSON of the first video and audio stream; reason says why there are none."""
-    x = probed.withColumn("p", F.from_json("json", PROBE))
+    x = probed.withColumn("p", F.from_json("json", PROBE, {"columnNameOfCorruptRecord": "broken"}))
     first = lambda kind: F.try_element_at(F.filter("p.streams", lambda s: s["codec_type"] == kind), F.lit(1))
     x = x.withColumn("video", first("video")).withColumn("audio", first("audio"))
     text = F.col("p.format.duration")
     seconds = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
     reason = (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("p").isNull(), "bad JSON")
+        .when(F.col("p").isNull() | F.col("p.broken").isNotNull(), "bad JSON")
         .when(F.col("video").isNull(), "no video stream")
         .when(F.col("video.width").isNull() | F.col("video.height").isNull(), "no size")
         .when(text.isNull(), "no duration")
