@@ -208,7 +208,9 @@ def _resembles(line: str, known: dict[str, np.ndarray]) -> bool:
 
 
 def train(docs: DataFrame, unknown_docs: int = UNKNOWN_DOCS, unknown_lines: int = UNKNOWN_LINES) -> Model:
-    few = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64(F.lit(17), "doc_id")).limit(unknown_docs)
+    few = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id")).limit(unknown_docs)
+    marks = docs.sparkSession.createDataFrame([tuple(r) for r in few.collect()], few.schema)  # at most unknown_docs ids
+    few = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     lines = few.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0")
     lines = lines.select(F.substring("line", 1, 2000).alias("line")).orderBy(F.xxhash64("line")).limit(unknown_lines)  # examples only
     known, _ = _templates()
