@@ -7,6 +7,7 @@ from tastemill.llm.storage import table
 
 SMALL = "/root/testdata/sf0.01"
 PLANTED = {
+    "All rights reserved.": "proprietary",
     "This work is licensed under the GNU General Public License, version 3.": "gpl",
     "Licensed under CC BY-NC 4.0.": "cc-by-nc",
     "Released under the MIT License.": "mit",
