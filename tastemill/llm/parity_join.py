@@ -16,7 +16,8 @@ set with r or more is also entered by its empty blocks: if linked sets agree in
 empty blocks only, these are at least r of either's, so the first ones of both,
 all but r - k, share at least k, and each choice of k of them is a key.
 
-Blocks that agree gather sets into coarse clusters, which can't cut a link.  In
+Keys that agree, as often as they must, gather sets into coarse clusters, which
+can't cut a link.  In
 a cluster, links are decided exactly: relative to a pivot set, each set is what
 it lacks and what it adds, and |A ^ B| = |dA| + |dB| - 2 |dA & dB|.  Sets linked
 to the pivot need no comparison among themselves, since only connectedness is
@@ -57,6 +58,7 @@ TOGETHER = 4
 TASK_DOCS = 4096
 TASK_SHINGLES = 4_000_000
 SALTS = 32
+KEY_SETS = 64
 SIEVE_BITS = 1 << 26
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -133,20 +135,29 @@ def sketch(shingles: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return folded, empty | (folded == 0)
 
 
-def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys a set is entered by: one for each block with a bit, and for choices of empty ones where they are many."""
-    keys = []
+def block_keys(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The keys a set is entered by, and for each how many blocks with bits a linked set must share at least.
+
+    One key for each block with a bit, and one for choices of empty blocks where
+    they are many.  A key's lowest seven bits are its band, the next one says that
+    it is of empty blocks, the others are a hash.
+    """
+    keys, least_shared = [np.zeros(0, np.uint64)], [np.zeros(0, np.int16)]
     for band in bands.of(len(shingles)):
         blocks, least = bands.shape(band)
         folded, empty = sketch(shingles, blocks)
         place = np.full(blocks, band, np.uint64) << np.uint64(32) | np.arange(blocks, dtype=np.uint64)
-        keys.append(mixed(folded ^ mixed(place + _ODD[0]))[~empty])
+        own = mixed(folded ^ mixed(place + _ODD[0]))[~empty]
+        keys.append(own << np.uint64(8) | np.uint64(band))
         none = np.flatnonzero(empty)
         if len(none) >= least:
             k = min(TOGETHER, least)
             chosen = [hash_of(place[list(c)]) for c in combinations(none[: len(none) - least + k].tolist(), k)]
-            keys.append(np.array(chosen, np.uint64))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            keys.append(np.array(chosen, np.uint64) << np.uint64(8) | np.uint64(128 + band))
+        # Of the blocks that linked sets share, no more are empty than either has.
+        rest = min(max(1, least - len(none)), 32_000)
+        least_shared.append(np.full(sum(map(len, keys)) - sum(map(len, least_shared)), rest, np.int16))
+    return np.concatenate(keys), np.concatenate(least_shared)
 
 
 def hash_of(places: np.ndarray) -> int:
@@ -163,25 +174,30 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(batches):
         shape = bands(num, den)
         seen: set[tuple[int, int]] = set()  # a set's keys are needed once in a task
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int16)
         for batch in batches:
-            size, first, second, keys = [], [], [], []
+            size, first, second, keys, least = [], [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words):
                 size.append(len(s))
                 first.append(np.bitwise_xor.reduce(mixed(s + _ODD[2])).astype(np.int64) if len(s) else 0)
                 second.append(mixed(s ^ _ODD[3]).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
                 new = (int(first[-1]), int(second[-1])) not in seen
                 seen.add((int(first[-1]), int(second[-1])))
-                keys.append((block_keys(s, shape) if new else s[:0]).astype(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+                own, shared = block_keys(s, shape) if new else none
+                keys.append(own.astype(np.int64))
+                least.append(shared)
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            listed = [
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([zero, *own]), kind))
+                for zero, own, kind in ((none[0].astype(np.int64), keys, pa.int64()), (none[1], least, pa.int16()))
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), listed],
-                ["doc_id", "n_shingles", "d1", "d2", "keys"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *listed],
+                ["doc_id", "n_shingles", "d1", "d2", "keys", "least"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, keys array<long>, least array<short>")
 
 
 def local_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -263,20 +279,22 @@ def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
-    """d1, key of the keys that can be among those of ``hubs``, by a bitmap of their lowest bits."""
+    """d1, key, least of the keys that can be among those of ``hubs``, by a bitmap of their bits."""
     mask = SIEVE_BITS - 1
-    shared = profiles.sparkSession.sparkContext.broadcast(_sieve(hubs.select(F.col("key").bitwiseAND(F.lit(mask)).alias("h")), SIEVE_BITS))
+    shared = profiles.sparkSession.sparkContext.broadcast(_sieve(hubs.select(F.shiftright("key", 8).bitwiseAND(F.lit(mask)).alias("h")), SIEVE_BITS))
 
     def run(batches):
         for batch in batches:
             listed = batch.column(1)
             keys = listed.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths().fill_null(0)))
-            h = keys & mask
+            h = (keys >> 8) & mask
             at = np.flatnonzero((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(keys[at], pa.int64())], ["d1", "key"])
+            least = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            cols = [batch.column(0).take(pa.array(row[at])), pa.array(keys[at], pa.int64()), pa.array(least[at], pa.int16())]
+            yield pa.RecordBatch.from_arrays(cols, ["d1", "key", "least"])
 
-    return profiles.select("d1", "keys").mapInArrow(run, "d1 long, key long")
+    return profiles.select("d1", "keys", "least").mapInArrow(run, "d1 long, key long, least short")
 
 
 def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -311,6 +329,30 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: in
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(as_arrow, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
 
 
+def _edges(profiles: DataFrame) -> DataFrame:
+    """a, b of digests: sets that are linked are connected by these edges.
+
+    A key that few sets have gives its pairs, and a pair stays if it shares as many
+    keys of a band as linked sets must.  A key that more than ``KEY_SETS`` sets
+    have, or one of empty blocks, gives a star around its smallest digest instead,
+    which connects all it has.  So a linked pair is either in some star or has all
+    its shared keys counted.
+    """
+    # Most keys are of one set only; a bitmap of the others spares those the second shuffle.
+    keyed = profiles.select("d1", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top"), F.count("*").alias("n")).where("hub <> top")
+    hubs = settled(hubs.select("key", "hub", ((F.col("n") > KEY_SETS) | (F.col("key").bitwiseAND(F.lit(128)) != 0)).alias("star")), "hubs")
+    rows = _shared_keys(profiles, hubs).join(hubs, "key").groupBy("key", "d1").agg(F.max("least").alias("least"), F.first("hub").alias("hub"), F.first("star").alias("star"))
+    rows = settled(rows, "shared")
+    stars = rows.where("star and d1 <> hub").select(F.col("d1").alias("a"), F.col("hub").alias("b"))
+    few = rows.where("not star").select("key", "d1", "least")
+    other = few.select("key", F.col("d1").alias("b"), F.col("least").alias("least_b"))
+    pairs = few.withColumnRenamed("d1", "a").join(other, "key").where("a < b")
+    band = F.col("key").bitwiseAND(F.lit(127))
+    counted = pairs.groupBy("a", "b", band.alias("band")).agg(F.count("*").alias("shared"), F.max(F.greatest("least", "least_b")).alias("needed"))
+    return stars.unionByName(counted.where("shared >= needed").select("a", "b")).distinct()
+
+
 def linked_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of ``docs``."""
     num, den = similarity
@@ -319,12 +361,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int
     classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = settled(classes, "classes")
 
-    # Keys of several sets form stars around the set with the smallest digest.  Most
-    # keys are of one set only, so that a bitmap spares them the second shuffle.
-    keyed = profiles.select("d1", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top")).where("hub <> top").select("key", "hub")
-    hubs = settled(hubs, "hubs")
-    edges = _shared_keys(profiles, hubs).join(hubs, "key").where("d1 <> hub").select(F.col("d1").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = _edges(profiles)
     # Vertices are digests: where two sets share one, both are in its cluster.
     clusters = settled(components(edges, "clusters"), "clustered")
 
