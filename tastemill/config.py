@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-EXTENSIONS = ("avi", "flv", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "webm", "wmv")
+#: Extensions of video files that are looked for by default.
+EXTENSIONS = ("avi", "flv", "mov", "f4v", "m2ts", "m4v", "mkv", "mpg", "webm", "wmv", "mp4")
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,8 @@ def lexical_normalize(path: Column) -> Column:
 def absolute(root: Column, path: Column) -> Column:
     """A stored path seen from its root, normalized; the result must be absolute."""
     full = lexical_normalize(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(root, F.lit("/"), path)))
-    return F.when(F.startswith(full, F.lit("/")), full).otherwise(F.raise_error(F.concat(F.lit("not an absolute path: "), full)))
+    wrong = F.raise_error(F.concat(F.lit("not an absolute path: "), full)).cast("string")
+    return F.when(F.startswith(full, F.lit("/")), full).when(full.isNotNull(), wrong)
 
 
 def relative_to(path: Column, base: Column) -> Column:

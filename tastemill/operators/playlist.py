@@ -18,9 +18,12 @@ ENTRY = f"struct<f:string,a:bigint,s:int,m:{MEDIA}>"
 
 def parse(lines: DataFrame) -> DataFrame:
     """pos, f, a, s, m of the label lines of (pos, value); other lines are nothing; a broken label line is an error."""
-    own = lines.select("pos", F.trim("value").alias("v")).where(F.startswith(F.col("v"), F.lit("#{")))
-    x = own.select("pos", "v", F.from_json(F.substring("v", 2, 1 << 30), ENTRY, {"mode": "FAILFAST"}).alias("e"))
-    bad = F.col("e.f").isNull() | F.col("e.a").isNull() | F.col("e.s").isNull()
+    is_label = F.startswith(F.col("v"), F.lit("#{"))
+    own = lines.select("pos", F.trim("value").alias("v")).where(is_label)
+    # The condition is repeated inside: a plan may move later filters below the one above.
+    text = F.when(is_label, F.substring("v", 2, 1 << 30))
+    x = own.select("pos", "v", F.from_json(text, ENTRY, {"mode": "FAILFAST"}).alias("e"))
+    bad = F.startswith(F.col("v"), F.lit("#{")) & (F.col("e.f").isNull() | F.col("e.a").isNull() | F.col("e.s").isNull())
     m = F.col("e.m")
     bad = bad | (m.isNotNull() & (m["w"].isNull() | m["h"].isNull() | m["s"].isNull() | m["d"].isNull()))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("bad label line: "), F.col("v")))).otherwise(F.col("e.f"))

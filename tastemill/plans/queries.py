@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 _NORM = r"trim(regexp_replace(regexp_replace(replace(lower({0}), '''', ''), '[^\p{{L}}\p{{N}}/]+', ' ', 'g'), ' ?/[ /]*', '/', 'g'))"
 _EXT = r"lower(regexp_extract({0}, '^(?:.*/)?[^/]+\.([^./]*)$', 1))"
-_WANTED = "('avi','flv','m4v','mkv','mov','mp4','mpeg','mpg','webm','wmv')"
+_WANTED = "('avi','flv','mov','f4v','m2ts','m4v','mkv','mpg','webm','wmv','mp4')"
 _CORE = f"""
 WITH {L.FILES_SQL}, {L.LABELS_SQL},
 cand AS (SELECT * FROM files WHERE {_EXT.format('path')} IN {_WANTED} AND doc_id NOT IN (SELECT doc_id FROM marks)),

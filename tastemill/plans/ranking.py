@@ -34,13 +34,20 @@ def candidates(files: DataFrame, labels: DataFrame, settings: RankSettings, key:
     x = files.where(extension(F.col("path")).isin(list(settings.extensions)))
     if settings.exclude:
         x = x.where(~excluded(F.col("path"), settings.exclude))
-    return x if settings.include_classified else x.join(labels.select(key), key, "left_anti")
+    on = "path" if "path" in labels.columns else key
+    return x if settings.include_classified else x.join(labels.select(on), on, "left_anti")
 
 
 def corpus(files: DataFrame, labels: DataFrame, settings: RankSettings = RankSettings(), key: str = "doc_id", byte_pairs: bool = False, features: str | None = None) -> Corpus:
-    """Tokens are words and the separators between them, or byte pairs trained on the corpus."""
+    """Tokens are words and the separators between them, or byte pairs trained on the corpus.
+
+    ``labels`` has key and s; with a path of its own, a label trains whether or
+    not its file is among ``files``, and its key must be unique.
+    """
     own = candidates(files, labels, settings, key).withColumn("text", normalize_text(F.col("path")))
-    known = files.join(labels.select(key, "s"), key).withColumn("text", normalize_text(F.col("path")))
+    extra = [features] if features else []
+    known = labels.select(key, "path", "s", *extra) if "path" in labels.columns else files.join(labels.select(key, "s"), key)
+    known = known.withColumn("text", normalize_text(F.col("path")))
     tokenizer, special = None, ngrams.SPECIAL
     if byte_pairs:
         tokenizer = bpe.train(own.select("text").unionByName(known.select("text")))

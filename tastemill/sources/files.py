@@ -118,5 +118,6 @@ def register(spark: SparkSession) -> None:
 
 def scan(spark: SparkSession, roots: list[str], extensions=(), exclude=()) -> DataFrame:
     register(spark)
-    reader = spark.read.format("filescan").option("roots", "\n".join(roots))
+    # Relative roots are seen from here, not from a worker.
+    reader = spark.read.format("filescan").option("roots", "\n".join(os.path.abspath(r) for r in roots))
     return reader.option("extensions", ",".join(extensions)).option("exclude", "\n".join(exclude)).load()
