@@ -39,11 +39,12 @@ def newest(entries: DataFrame) -> DataFrame:
 
 
 def compact(entries: DataFrame, keys: DataFrame, now: int, ttl_days: int) -> DataFrame:
-    """Survivors: entries of present keys with u = now, others while younger than the limit; a limit of 0 drops them."""
+    """Survivors: entries of present keys with u = now, others while younger than the limit; with a limit of 0 all stay."""
     seen = keys.select("k").distinct().withColumn("present", F.lit(True))
     x = entries.join(seen, "k", "left").withColumn("present", F.coalesce("present", F.lit(False)))
-    alive = F.col("present") | (F.lit(now) - F.col("u") < ttl_days * 86_400)
-    return x.where(alive).select("k", F.when(F.col("present"), F.lit(now).cast("long")).otherwise(F.col("u")).alias("u"), "f")
+    if ttl_days:
+        x = x.where(F.col("present") | (F.lit(now) - F.col("u") < ttl_days * 86_400))
+    return x.select("k", F.when(F.col("present"), F.lit(now).cast("long")).otherwise(F.col("u")).alias("u"), "f")
 
 
 def missing(keys: DataFrame, survivors: DataFrame) -> DataFrame:

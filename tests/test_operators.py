@@ -155,6 +155,16 @@ def test_cache_round_trip(spark, tmp_path):
     assert {r.k: (r.u, r.f.fps) for r in cache.read(spark, root).collect()} == {"a": (9, 24.0), "c": (100, None)}
 
 
+def test_cache_without_expiry(spark):
+    entries = spark.createDataFrame([("a", 9, (1, 1, 1, "", "", 1.0, None)), ("c", 100, (2, 1, 1, "", "", 1.0, None))], f"k string, u long, f {cache.MEDIA}")
+    keys = spark.createDataFrame([("a",), ("z",)], "k string")
+    kept = cache.compact(entries, keys, 10**9, 0)
+    assert {r.k: (r.u, r.f.w) for r in kept.collect()} == {"a": (10**9, 1), "c": (100, 2)}
+    assert [r.k for r in cache.missing(keys, kept).collect()] == ["z"]
+    fresh = keys.select("k", F.lit(300).cast("long").alias("u"), cache.default_media().alias("f"))
+    assert {r.k: (r.u, r.f.w) for r in cache.merge(kept, fresh).collect()} == {"a": (300, 0), "c": (100, 2), "z": (300, 0)}
+
+
 def test_label_file(spark, tmp_path):
     FS.register(spark)
     (tmp_path / "a b.mkv").touch()
