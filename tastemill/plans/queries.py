@@ -394,6 +394,24 @@ def ngram_combinations(spark, d):
     return x.select("doc_id", F.array_join(F.array_sort(F.transform(combined, ngrams.shown)), "\n").alias("ngrams"))
 
 
+def _corpus_rows(spark, d) -> DataFrame:
+    """doc_id, l, text of candidates (l 0) and labelled rows (l 1)."""
+    data = _data(spark, d)
+    return data.candidates.select("doc_id", F.lit(0).alias("l"), "text").unionByName(data.labelled.select("doc_id", F.lit(1).alias("l"), "text"))
+
+
+@query(_CORE + "SELECT doc_id, l, string_agg(ngram, chr(10) ORDER BY ngram) AS ngrams FROM (SELECT DISTINCT doc_id, l, array_to_string(list_slice(t, i, i + n - 1), '|') AS ngram FROM (SELECT doc_id, l, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM toks, (SELECT unnest(range(1, 6)) AS n) WHERE len(t) >= n)) GROUP BY doc_id, l")
+def ngram_windows_all(spark, d):
+    runs = ngrams.windows(ngrams.word_tokens(F.col("text")), SETTINGS.windows)
+    return _corpus_rows(spark, d).select("doc_id", "l", F.array_join(F.array_sort(F.transform(runs, ngrams.shown)), "\n").alias("ngrams"))
+
+
+@query(_CORE + "SELECT doc_id, l, string_agg(ngram, chr(10) ORDER BY ngram) AS ngrams FROM (SELECT doc_id, l, x AS ngram FROM pos UNION SELECT a.doc_id, a.l, least(a.x, b.x) || '|' || greatest(a.x, b.x) FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.l = b.l AND a.i < b.i) GROUP BY doc_id, l")
+def ngram_combinations_all(spark, d):
+    combined = ngrams.combinations(ngrams.word_tokens(F.col("text")), SETTINGS.combinations)
+    return _corpus_rows(spark, d).select("doc_id", "l", F.array_join(F.array_sort(F.transform(combined, ngrams.shown)), "\n").alias("ngrams"))
+
+
 @query(_CORE + "SELECT ngram, df FROM df")
 def ngram_doc_freq(spark, d):
     data = _data(spark, d)

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,20 @@ def test_score_equals_the_sum_over_ngrams(spark):
     assert all(r.naive_bayes == 0 for r in bayes.score(entries, p, none, bayes.totals(none, labels.limit(0)), "doc_id").collect())
 
 
+def test_ngrams_of_every_entry(spark):
+    data = R.corpus(L.files(spark, SMALL), L.labels(spark, SMALL), Q.SETTINGS)
+    texts = {(r.doc_id, 0): r.text for r in data.candidates.collect()} | {(r.doc_id, 1): r.text for r in data.labelled.collect()}
+    assert {l for _, l in texts} == {0, 1}
+    runs, combined = {}, {}
+    for key, text in texts.items():
+        t = [ngrams.ROOT, *re.findall(r"[ /]|[^ /]+", text), ngrams.EOL]
+        plain = [x for x in t if x not in ngrams.SPECIAL]
+        runs[key] = "\n".join(sorted({"|".join(t[i : i + n]) for n in range(1, 6) for i in range(len(t) - n + 1)}))
+        combined[key] = "\n".join(sorted({"|".join(sorted(c)) for n in (1, 2) for c in itertools.combinations(plain, n)}))
+    for name, wanted in (("ngram_windows_all", runs), ("ngram_combinations_all", combined)):
+        assert {(r.doc_id, r.l): r.ngrams for r in Q.QUERIES[name](spark, SMALL).collect()} == wanted
+
+
 def test_minmax_keeps_constant_columns(spark):
     df = spark.createDataFrame([(1, 5.0, 2.0), (2, 7.0, 2.0)], "k int, a double, b double")
     assert sorted(tuple(r) for r in ranking.minmax(df, ["a", "b"]).collect()) == [(1, 0.0, 2.0), (2, 1.0, 2.0)]
