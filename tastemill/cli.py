@@ -109,7 +109,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     if a.command == "move":
         old, new = playlist.LabelFile(a.original), playlist.LabelFile(a.new)
         rows = old.entries(spark).withColumn("p", absolute(F.lit(old.root), F.col("f"))).orderBy("pos").collect()  # one file's entries
-        new.append(spark, [(r.p, r.s, r.a) for r in rows])
+        new.append(spark, [(r.p, r.s, r.a, r.m) for r in rows])
         return []
     store = playlist.LabelFile(a.playlist)
     if a.command == "reconcile":

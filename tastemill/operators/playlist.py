@@ -83,12 +83,12 @@ class LabelFile:
     def entries(self, spark) -> DataFrame:
         return parse(self.lines(spark))
 
-    def append(self, spark, rows: list[tuple[str, int, int | None]]) -> None:
-        """Add (absolute path, score, time or None for now) in order."""
-        made = [(k, p, s, int(time.time()) if a is None else a, os.path.exists(p)) for k, (p, s, a) in enumerate(rows)]
-        df = spark.createDataFrame(made, "pos long, p string, s int, a long, there boolean")
+    def append(self, spark, rows: list[tuple]) -> None:
+        """Add (absolute path, score, time or None for now, features if known) in order."""
+        made = [(k, p, s, int(time.time()) if a is None else a, m[0] if m else None, os.path.exists(p)) for k, (p, s, a, *m) in enumerate(rows)]
+        df = spark.createDataFrame(made, f"pos long, p string, s int, a long, m {MEDIA}, there boolean")
         df = df.withColumn("f", relative_to(F.col("p"), F.lit(self.root)))
-        text = [r.text for r in render(df, F.col("there"), default_media()).orderBy("pos").collect()]  # the rows given
+        text = [r.text for r in render(df, F.col("there"), F.coalesce("m", default_media())).orderBy("pos").collect()]  # the rows given
         with open(self.path, "a", encoding="utf-8") as f:
             f.writelines(t + "\n" for t in text)
 

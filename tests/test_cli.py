@@ -24,3 +24,14 @@ def test_commands(spark, tmp_path, monkeypatch):
     run("move", "l.m3u", "sub/n.m3u")
     assert run("list-positive", "sub/n.m3u")[0] == "good one.mkv" and "../good one.mkv" in (tmp_path / "sub/n.m3u").read_text()
     assert run("reconcile", "sub/n.m3u") == ["unchanged"]
+
+
+def test_move_keeps_time_score_and_features(spark, tmp_path):
+    media = {"w": 1280, "h": 720, "s": 1234, "vc": "h264", "ac": "aac", "d": 100.5}
+    entries = [{"f": "a.mkv", "a": 5, "s": 1, "m": {**media, "fps": 24.0}}, {"f": "b.mkv", "a": 6, "s": -1, "m": media}, {"f": "c.mkv", "a": 7, "s": 1}]
+    (tmp_path / "l.m3u").write_text("#EXTM3U\n" + "".join(f"#{json.dumps(e)}\n" for e in entries))
+    (tmp_path / "sub").mkdir()
+    cli.run(spark, cli.parser().parse_args(["move", str(tmp_path / "l.m3u"), str(tmp_path / "sub/n.m3u")]))
+    got = [json.loads(x[1:]) for x in (tmp_path / "sub/n.m3u").read_text().split("\n")[1:] if x.startswith("#")]
+    zero = {"w": 0, "h": 0, "s": 0, "vc": "", "ac": "", "d": 0.0}
+    assert got == [{**e, "f": "../" + e["f"], "m": e.get("m", zero)} for e in entries]
