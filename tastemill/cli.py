@@ -7,16 +7,18 @@ import json
 import os
 import sys
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.config import EXTENSIONS, FeatureSettings, RankSettings
-from tastemill.functions.media import feature_tokens
+from tastemill.functions.media import entry_key, feature_tokens
 from tastemill.functions.paths import absolute, relative_to
 from tastemill.operators import cache, playlist, ranking
 from tastemill.plans.ranking import corpus, rank
 from tastemill.sources import files as sources
+from tastemill.sources import probe
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,8 +34,8 @@ def parser() -> argparse.ArgumentParser:
     for name, offset in (("file-size", 1 << 20), ("dir-size", 0), ("file-age", 86_400)):
         score.add_argument(f"--{name}-bias", type=float)
         score.add_argument(f"--{name}-offset", type=int, default=offset)
-    score.add_argument("--cache", help="folder of the feature cache")
-    score.add_argument("--cache-ttl-days", type=int, default=30)
+    score.add_argument("--cache", help="folder of the feature cache; without it every file is probed and nothing is stored")
+    score.add_argument("--cache-ttl-days", type=int, default=30, help="days that entries of files not found stay; 0 for ever")
     score.add_argument("--features-combinations", type=int, default=2)
     score.add_argument("--features-smoothing", type=int, default=1)
     score.add_argument("--features-bucket-base", type=float, default=1.5)
@@ -61,15 +63,15 @@ def settings(a: argparse.Namespace) -> RankSettings:
     )
 
 
-def score(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    s = settings(a)
+def score(spark: SparkSession, a: argparse.Namespace, call: Callable[[str], str] = probe.run_program) -> list[str]:
+    s, now = settings(a), int(time.time())
     store = playlist.LabelFile(a.playlist)
     found = sources.scan(spark, a.dirs, s.extensions, s.exclude)
     files = found.select(F.col("path").alias("row"), "path", "size", F.unix_timestamp("mtime").alias("mtime_s"))
     entries = store.entries(spark).withColumn("path", absolute(F.lit(store.root), F.col("f")))
     labels = entries.select(F.concat_ws("#", F.col("pos").cast("string"), "path").alias("row"), "path", "s", F.col("m").alias("media"))
-    data = corpus(_featured(spark, files, a, s), _tokens(labels, s), s, key="row", byte_pairs=True, features="features")
-    rows = rank(data, s, int(time.time()), key="row")
+    data = corpus(_featured(spark, files, a, s, now, call), _tokens(labels, s), s, key="row", byte_pairs=True, features="features")
+    rows = rank(data, s, now, key="row")
     base = None if a.absolute else os.getcwd()
     if base is not None:
         rows = rows.withColumn("path", relative_to(F.col("path"), F.lit(base)))
@@ -86,13 +88,28 @@ def score(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     return [*([] if a.no_header else ["\t".join(names)]), *map(line, out.toLocalIterator())]
 
 
-def _featured(spark: SparkSession, files: DataFrame, a: argparse.Namespace, s: RankSettings) -> DataFrame:
-    """Files with the feature tokens that the cache knows; zeros for others."""
-    from tastemill.functions.media import entry_key
-
+def _featured(spark: SparkSession, files: DataFrame, a: argparse.Namespace, s: RankSettings, now: int, call: Callable[[str], str]) -> DataFrame:
+    """Files with the feature tokens of the filled cache; zeros for those that can't be probed."""
     keyed = files.withColumn("k", entry_key(F.col("path"), F.col("mtime_s"), F.col("size")))
-    known = cache.read(spark, a.cache) if a.cache and os.path.isdir(a.cache) else spark.createDataFrame([], f"k string, u long, f {cache.MEDIA}")
-    return _tokens(cache.attach(keyed, known).drop("k"), s)
+    return _tokens(cache.attach(keyed, _populated(spark, keyed, a.cache, s, now, call)).drop("k"), s)
+
+
+def _populated(spark: SparkSession, keyed: DataFrame, folder: str | None, s: RankSettings, now: int, call: Callable[[str], str]) -> DataFrame:
+    """The cache after a pass over it: entries refreshed or expired, files without one probed, all stored as a new generation."""
+    if folder:
+        folder = os.path.abspath(folder)
+        os.makedirs(folder, exist_ok=True)
+    root = f"file://{folder}"
+    known = cache.read(spark, root) if folder else spark.createDataFrame([], f"k string, u long, f {cache.MEDIA}")
+    kept = cache.compact(known, keyed, now, s.cache_ttl_days)
+    lost = cache.missing(keyed, kept).select("k", "path", "size").distinct().repartition(spark.sparkContext.defaultParallelism)
+    probed = probe.extract(probe.probe(lost, call)).where(F.col("media").isNotNull())
+    fresh = lost.select("k", "path").join(probed, "path").select("k", F.lit(now).cast("long").alias("u"), F.col("media").alias("f"))
+    filled = cache.merge(kept, fresh)
+    if not folder:
+        return filled.localCheckpoint()  # a file is probed once, however often its features are read
+    cache.write_generation(filled, root)
+    return cache.read(spark, root)
 
 
 def _tokens(rows: DataFrame, s: RankSettings) -> DataFrame:

@@ -35,3 +35,37 @@ def test_move_keeps_time_score_and_features(spark, tmp_path):
     got = [json.loads(x[1:]) for x in (tmp_path / "sub/n.m3u").read_text().split("\n")[1:] if x.startswith("#")]
     zero = {"w": 0, "h": 0, "s": 0, "vc": "", "ac": "", "d": 0.0}
     assert got == [{**e, "f": "../" + e["f"], "m": e.get("m", zero)} for e in entries]
+
+
+def test_score_fills_the_cache(spark, tmp_path):
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    for name in ("one.mkv", "two.mkv", "bad.mkv"):
+        (lib / name).write_text(name)
+    calls, root = tmp_path / "calls", tmp_path / "cache"
+    calls.touch()
+
+    def call(path):
+        with open(calls, "a") as f:
+            f.write(path + "\n")
+        if path.endswith("bad.mkv"):
+            raise OSError("broken")
+        return json.dumps({"format": {"duration": "9"}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": 640, "height": 480}]})
+
+    (root / "gen=1").mkdir(parents=True)
+    f = {"w": 1, "h": 1, "s": 1, "d": 1.0}
+    (root / "gen=1/x.jsonl").write_text(json.dumps({"k": "gone", "u": 5, "f": f}) + "\n")
+
+    keyed = spark.createDataFrame([(n, str(lib / n), 7) for n in ("one.mkv", "two.mkv", "bad.mkv")], "k string, path string, size long").coalesce(1)
+
+    def run(*more):
+        calls.write_text("")
+        a = cli.parser().parse_args(["score", str(tmp_path / "l.m3u"), str(lib), "--cache", str(root), *more])
+        kept = {r.k: r.f.w for r in cli._populated(spark, keyed, a.cache, cli.settings(a), 10**9, call).collect()}
+        return sorted(p.rsplit("/", 1)[1] for p in calls.read_text().split()), kept
+
+    seen, kept = run("--cache-ttl-days", "0")
+    assert seen == ["bad.mkv", "one.mkv", "two.mkv"] and sorted(kept.values()) == [1, 640, 640] and "gone" in kept
+    seen, kept = run()  # what failed is tried again, what expired goes
+    assert seen == ["bad.mkv"] and sorted(kept.values()) == [640, 640]
+    assert [p.name for p in root.iterdir()] == ["gen=3"]
