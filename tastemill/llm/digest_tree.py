@@ -1,104 +1,124 @@
-"""Exact deduplication by a tree merge of digest runs; DataFrame operations only.
-
-Rows are dealt to ``leaves`` by a hash of their id, so that even one text that
-holds a third of all rows is spread over every leaf.  Each leaf reduces its rows
-to a run: one entry per distinct text, ordered by digest, with the smallest id,
-the number of rows and, as a check beside the SHA-256, the length and an
-independent 64-bit hash of the text.  In each round ``fan_in`` neighbouring runs
-are merged by digest; every digest keeps the smallest id among entries whose
-check values agree too.  The work of a round is split by digest, so the last
-round, where one run is left, is as wide as the first.  The decisions then go
-back down the same tree: a level is joined to the one below on (node, digest),
-and a leaf at last to its own rows.  No key of any of these joins holds more
-rows than one leaf, and no text is shuffled.
+"""Exact deduplication by a tree merge of sorted digest runs; DataFrame operations only.
+
+Rows are dealt to leaves by a number of their own, whatever their id or text, so
+that even one text, or no id at all, that a third of all rows have is spread over
+every leaf.  Each leaf reduces its rows to a run: one entry per distinct text, in
+the order of digests, with the smallest id, the number of rows and, as a check
+beside the SHA-256, the length and an independent 64-bit hash of the text.
+
+In each round ``FAN_IN`` neighbouring runs come together and are merged: the sort
+of an entry's exchange puts the runs of one node in one order, and equal
+neighbours are folded to the smallest verified id, which is Spark's sort
+aggregation.  The work of a round is split by digest, so the last round, where
+one run is left, is as wide as the first.  Every level is written to the shared
+folder.  The decisions on texts that occur more than once then go back down the
+same tree: a level is joined to the one below on (node, digest, check), and a
+leaf at last to its own rows.  No key of these joins holds more rows than a leaf,
+and the number of leaves grows with the rows: about ``LEAF_ROWS`` each, and never
+fewer than ``LEAST_LEAVES`` leaves.
 
 Defined results: a null text counts as empty.  Rows that repeat a doc_id with an
 equal text form part of the group like any others; one of them is kept if they
 carry the smallest id.  Null ids never win against others; a group of nothing
 but null ids keeps one row, with keep_id null.  Columns other than doc_id and
-text are not read, whatever their names.  An empty table gives an empty result.
+text are not read, whatever their names.  Very long texts are one value like any
+other.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import settled, table
+from .storage import matching, settled, table, text_mark
 
-LEAVES = 256
-FAN_IN = 16
+LEAST_LEAVES = 256
+LEAF_ROWS = 1 << 17
+FAN_IN = 4
 _SPACE = r"[\x20\x09-\x0D]+"
+_KEY = ["node", "digest", "chars", "check"]
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, " ")
 
 
-def digested(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
-    """One slim row per document: id, digest, check values, leaf."""
-    text = docs.select(F.col("doc_id").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+def digested(docs: DataFrame) -> DataFrame:
+    """One slim row per document: id, a mark of its text as it stands, digest, check values, and a number of its own."""
+    text = docs.select(F.col("doc_id").alias("doc_id"), text_mark(docs).alias("mark"), normalised(F.col("text")).alias("norm"))
     return text.select(
         "doc_id",
+        "mark",
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.length("norm").alias("chars"),
         F.xxhash64("norm").alias("check"),
-        F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(leaves)).cast("int").alias("node"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-_KEY = ["node", "digest", "chars", "check"]
+def tree_leaves(rows: int, fan_in: int = FAN_IN) -> int:
+    """A power of ``fan_in`` that gives leaves of about ``LEAF_ROWS`` rows."""
+    leaves = 1
+    while leaves < max(LEAST_LEAVES, rows / LEAF_ROWS):
+        leaves *= fan_in
+    return leaves
 
 
-def _merge(runs: DataFrame, node: Column) -> DataFrame:
-    return (
-        runs.withColumn("node", node.cast("int"))
-        .groupBy(*_KEY)
-        .agg(F.min("least").alias("least"), F.sum("rows").alias("rows"))
-    )
+def _merged(runs: DataFrame, node: Column) -> DataFrame:
+    """Runs of a node as one: the smallest entry and all rows of each digest whose check values agree.
 
+    The entry is a struct, for which Spark aggregates by sorting.
+    """
+    return runs.withColumn("node", node.cast("int")).groupBy(*_KEY).agg(F.min("least").alias("least"), F.sum("rows").alias("rows"))
 
-def deduplicate(docs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
-    # Texts are read once: what follows works on the slim rows as written.
-    rows = settled(digested(docs, leaves), "digests")
-    leaf = _merge(rows.select(*_KEY, F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("rows")), F.col("node"))
-    levels, width = [leaf], leaves
+
+def _decided(docs: DataFrame, leaves: int | None, fan_in: int) -> DataFrame:
+    """doc_id, mark, digest, keep_id, group_size, kept: one row per row of ``docs``."""
+    rows = settled(digested(docs), "digests")
+    width = leaves or tree_leaves(rows.count(), fan_in)
+    rows = rows.withColumn("node", F.pmod(F.xxhash64(F.lit(7), "row"), F.lit(width)).cast("int"))
+    entry = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"), F.col("row").alias("row"))
+    levels = [settled(_merged(rows.select(*_KEY, entry.alias("least"), F.lit(1).cast("long").alias("rows")), F.col("node")), "run")]
     while width > 1:
-        levels.append(_merge(levels[-1], F.floor(F.col("node") / fan_in)))
+        levels.append(settled(_merged(levels[-1], F.floor(F.col("node") / fan_in)), "run"))
         width = -(-width // fan_in)
 
-    decided = levels[-1].select(*_KEY, F.col("least").alias("keep_id"), F.col("rows").alias("group_size"))
+    # A text of one row keeps it: only the others' decisions go down.
+    decided = levels[-1].where("rows > 1").select(*_KEY, "least", F.col("rows").alias("group_size"))
     for below in reversed(levels[:-1]):
-        decided = (
-            below.select(*_KEY)
-            .withColumn("up", F.floor(F.col("node") / fan_in).cast("int"))
-            .join(
-                decided.withColumnRenamed("node", "up"),
-                ["up", "digest", "chars", "check"],
-            )
-            .select(*_KEY, "keep_id", "group_size")
-        )
-    first = F.row_number().over(Window.partitionBy(*_KEY, "doc_id").orderBy("doc_id")) == 1
-    return rows.join(decided, _KEY).select(
+        up = decided.withColumnRenamed("node", "up")
+        decided = below.select(*_KEY, F.floor(F.col("node") / fan_in).cast("int").alias("up")).join(up, ["up", "digest", "chars", "check"])
+        decided = decided.select(*_KEY, "least", "group_size")
+    single = F.col("group_size").isNull()
+    return rows.join(decided, _KEY, "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        "mark",
+        "digest",
+        F.when(single, F.col("doc_id")).otherwise(F.col("least.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (single | (F.col("least.row") == F.col("row"))).alias("kept"),
     )
 
 
+def deduplicate(docs: DataFrame, leaves: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
+    found = _decided(docs, leaves, fan_in)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all its columns unchanged."""
-    kept = deduplicate(docs).where("kept").select(
-        F.col("doc_id").alias("__tm_id"), F.unhex("text_sha256").alias("__tm_digest")
-    )
-    marked = docs.withColumn("__tm_sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    same = marked["doc_id"].eqNullSafe(kept["__tm_id"]) & (marked["__tm_sha"] == kept["__tm_digest"])
-    joined = marked.join(kept, same, "left_semi")
-    order = Window.partitionBy("doc_id", "__tm_sha").orderBy("doc_id")
-    return joined.withColumn("__tm_n", F.row_number().over(order)).where("__tm_n = 1").select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, all its columns unchanged.
+
+    Rows are told apart by their id and text.  Those to go are taken out by an
+    anti join; of rows that repeat both, one comes back.
+    """
+    found = _decided(docs, None, FAN_IN).groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    out_of_place = settled(found.where("not kept or n > 1"), "dropped")
+    out = matching(docs, out_of_place.select("id", "mark"), "left_anti")
+    again = out_of_place.where("kept").select("id", "mark")
+    if again.isEmpty():
+        return out
+    return out.unionByName(matching(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,20 +21,30 @@ can't cut a link.  In
 a cluster, links are decided exactly: relative to a pivot set, each set is what
 it lacks and what it adds, and |A ^ B| = |dA| + |dB| - 2 |dA & dB|.  Sets linked
 to the pivot need no comparison among themselves, since only connectedness is
-asked for.  A cluster above ``TASK_DOCS`` sets or ``TASK_SHINGLES`` shingles is
-dealt to chunks, and each pair of chunks is a task: the work for a large group is
-spread, its results stay whole.
+asked for.
+
+A cluster above ``TASK_DOCS`` sets or ``TASK_SHINGLES`` shingles, bounds of a
+task's memory, is dealt to chunks.  First each chunk is decided by itself together
+with one set of the cluster that all its chunks get, which connects a group of
+near copies over all chunks with each text shipped once.  Then only sets that are
+not connected with the cluster's largest group so far, the rest, are compared
+with the sets of every chunk, a chunk of the rest at a time.  So a group's work
+is spread and its results stay whole, and texts are shipped again only in the
+measure in which a cluster was too coarse.
 
 Equal sets are one class from the start; a class is represented by its smallest
-id, and a task enters a set's keys once, so thousands of copies cost little.  No step gathers a
-key's rows: counts and minima are pre-aggregated, and rows return to their class
-by a salted join.
+id, and a task enters a set's keys once, so thousands of copies cost little.  A
+text fetched by its id is held against the class's digest, so ids that repeat
+with other texts do no harm.  No step gathers a key's rows: counts and minima are
+pre-aggregated, and rows return to their class by a salted join.
 
 Defined results: a text without words, or null, has no shingles, is linked to
 nothing and is its own component; with fewer words than a shingle takes, the
-whole sequence is the one shingle.  Repeated rows are linked like other copies.
-Rows whose id is null are never linked; their component is null.  Columns besides
-doc_id and text are not read.
+whole sequence is the one shingle.  Repeated rows are linked like other copies;
+an id that repeats with different texts keeps the links of each.  Ids may be of
+any type with an order.  Rows whose id is null are never linked; their component
+is null.  Very long texts are hashed piece by piece.  Columns besides doc_id and
+text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +59,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import WHITE, hashed, mixed
-from .storage import settled, table
+from .storage import discard, matching, settled, table, text_mark
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -59,7 +69,8 @@ TASK_DOCS = 4096
 TASK_SHINGLES = 4_000_000
 SALTS = 32
 KEY_SETS = 64
-SIEVE_BITS = 1 << 26
+#: Keys up to which a sieve is made, of SIEVE_BITS bits for each.
+SIEVED, SIEVE_BITS = 1 << 24, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -152,24 +163,31 @@ def block_keys(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarr
         none = np.flatnonzero(empty)
         if len(none) >= least:
             k = min(TOGETHER, least)
-            chosen = [hash_of(place[list(c)]) for c in combinations(none[: len(none) - least + k].tolist(), k)]
-            keys.append(np.array(chosen, np.uint64) << np.uint64(8) | np.uint64(128 + band))
+            chosen = np.array(list(combinations(none[: len(none) - least + k].tolist(), k)), np.int64)
+            keys.append(hashes_of(place[chosen]) << np.uint64(8) | np.uint64(128 + band))
         # Of the blocks that linked sets share, no more are empty than either has.
         rest = min(max(1, least - len(none)), 32_000)
         least_shared.append(np.full(sum(map(len, keys)) - sum(map(len, least_shared)), rest, np.int16))
     return np.concatenate(keys), np.concatenate(least_shared)
 
 
-def hash_of(places: np.ndarray) -> int:
-    """One hash of several places of empty blocks."""
-    total = np.uint64(len(places))
-    for p in places:
-        total = mixed(np.array([total ^ p], np.uint64) + _ODD[6])[0]
-    return int(total)
+def hashes_of(places: np.ndarray) -> np.ndarray:
+    """One hash of each row of places of empty blocks."""
+    total = np.full(len(places), places.shape[1], np.uint64)
+    for column in places.T:
+        total = mixed((total ^ column) + _ODD[6])
+    return total
+
+
+def digests(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set; zeros for the empty one."""
+    if not len(shingles):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(mixed(shingles + _ODD[2])).astype(np.int64)), int(mixed(shingles ^ _ODD[3]).sum(dtype=np.uint64).astype(np.int64))
 
 
 def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, block keys."""
+    """doc_id, mark of the text, n_shingles, two digests of the set, block keys."""
 
     def run(batches):
         shape = bands(num, den)
@@ -179,10 +197,11 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             size, first, second, keys, least = [], [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words):
                 size.append(len(s))
-                first.append(np.bitwise_xor.reduce(mixed(s + _ODD[2])).astype(np.int64) if len(s) else 0)
-                second.append(mixed(s ^ _ODD[3]).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                new = (int(first[-1]), int(second[-1])) not in seen
-                seen.add((int(first[-1]), int(second[-1])))
+                d1, d2 = digests(s)
+                first.append(d1)
+                second.append(d2)
+                new = (d1, d2) not in seen
+                seen.add((d1, d2))
                 own, shared = block_keys(s, shape) if new else none
                 keys.append(own.astype(np.int64))
                 least.append(shared)
@@ -192,16 +211,20 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 for zero, own, kind in ((none[0].astype(np.int64), keys, pa.int64()), (none[1], least, pa.int16()))
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *listed],
-                ["doc_id", "n_shingles", "d1", "d2", "keys", "least"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *listed],
+                ["doc_id", "mark", "n_shingles", "d1", "d2", "keys", "least"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, keys array<long>, least array<short>")
+    rows = docs.select("doc_id", "text", text_mark(docs).alias("mark"))
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, d1 long, d2 long, keys array<long>, least array<short>")
+
 
+def local_links(sets: list[np.ndarray], num: int, den: int, rest: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all that is connected among the sets, each an exact one.
 
-def local_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all that is connected among the sets, each an exact one."""
+    With ``rest``, places of sets, it is enough to compare these with all others.
+    """
     m = len(sets)
     if m < 2:
         return []
@@ -240,7 +263,7 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
 
     direct = linked(pivot, delta)
     join(pivot, np.flatnonzero(direct))
-    for a in np.flatnonzero(~direct):
+    for a in np.flatnonzero(~direct) if rest is None else rest:
         both = np.bitwise_count(packed & packed[a]).sum(1).astype(np.int64)
         mine = e_of[first[a] : first[a + 1]]
         if len(mine):
@@ -253,25 +276,32 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     return links
 
 
-def _sieve(values: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the values of h, which are below ``bits``; its size is fixed."""
-    at = values.select((F.col("h") + 1).alias("h"))  # bucket numbers and positions count from value 1
+def _sieve(values: DataFrame) -> tuple[int, np.ndarray] | None:
+    """Size and bitmap of the hashes h of a written table; None where they are too many to broadcast one."""
+    n = values.count()
+    if n > SIEVED:
+        return None
+    bits = 1 << max(15, (n * SIEVE_BITS).bit_length())
+    at = values.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("h"))  # bucket numbers and positions count from value 1
     parts = at.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     whole = np.zeros(bits // 8, np.uint8)
-    for r in parts.toLocalIterator():  # at most bits / 32768 rows of 4 KiB
-        own = np.frombuffer(r.bits, np.uint8)[: len(whole) - (r.k - 1) * 4096]
-        whole[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(own)] |= own
-    return whole
+    found = parts.toArrow()  # at most bits / 32768 rows of 4 KiB
+    for k, own in zip(found.column("k").to_pylist(), found.column("bits"), strict=True):
+        whole[(k - 1) * 4096 : k * 4096] = np.frombuffer(own.as_py(), np.uint8)
+    return bits, whole
 
 
 def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of ``docs`` that can be members, by a bitmap of hashed ids: few texts are left to shuffle."""
-    place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(SIEVE_BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(_sieve(members.select(place("doc_id").alias("h")), SIEVE_BITS))
+    place = lambda c: F.xxhash64(F.lit(23), c)
+    sieve = _sieve(members.select(place("doc_id").alias("h")))
+    if sieve is None:
+        return docs
+    bits, shared = sieve[0], docs.sparkSession.sparkContext.broadcast(sieve[1])
 
     def run(batches):
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) & (bits - 1)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array((shared.value[h >> 3] >> (h & 7)) & 1 == 1))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -280,15 +310,17 @@ def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
     """d1, key, least of the keys that can be among those of ``hubs``, by a bitmap of their bits."""
-    mask = SIEVE_BITS - 1
-    shared = profiles.sparkSession.sparkContext.broadcast(_sieve(hubs.select(F.shiftright("key", 8).bitwiseAND(F.lit(mask)).alias("h")), SIEVE_BITS))
+    sieve = _sieve(hubs.select(F.shiftright("key", 8).alias("h")))
+    if sieve is None:
+        return profiles.select("d1", F.explode(F.arrays_zip("keys", "least")).alias("k")).select("d1", F.col("k.keys").alias("key"), F.col("k.least").alias("least"))
+    bits, shared = sieve[0], profiles.sparkSession.sparkContext.broadcast(sieve[1])
 
     def run(batches):
         for batch in batches:
             listed = batch.column(1)
             keys = listed.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths().fill_null(0)))
-            h = (keys >> 8) & mask
+            h = (keys >> 8) & (bits - 1)
             at = np.flatnonzero((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
             least = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             cols = [batch.column(0).take(pa.array(row[at])), pa.array(keys[at], pa.int64()), pa.array(least[at], pa.int16())]
@@ -298,38 +330,53 @@ def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """a, b: links that connect what is connected in each task of ``members`` (doc_id, task)."""
+    """a, b, classes (rep, d1, d2): links that connect what is connected in each task.
+
+    ``members`` is a written table of (doc_id, d1, d2, task, rest): where any set of
+    a task is of the rest, only those are compared with all.
+    """
     likely = _sieved(docs.select("doc_id", "text"), members)
-    rows = likely.join(members, "doc_id").select("task", "doc_id", "text")
+    rows = likely.join(members, "doc_id").select("task", "doc_id", "text", "d1", "d2", "rest")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def decide(own: list) -> list[tuple]:
-        unique = {i: t for i, t in own}  # rows that repeat an id are of one class
-        ids = list(unique)
-        return [(ids[a], ids[b]) for a, b in local_links(list(shingle_sets(unique.values(), words)), num, den)]
+    def decide(own: dict) -> list[tuple]:
+        classes = list(own)
+        rest = np.flatnonzero([r for _, r in own.values()])
+        links = local_links([s for s, _ in own.values()], num, den, rest if len(rest) else None)
+        return [classes[a] + classes[b] for a, b in links]
 
     def run(batches):
-        task, own = None, []
+        task, own, kind = None, {}, None
+
+        def pack(found):
+            cols = [pa.array([x[k] for x in found], kind if k in (0, 3) else pa.int64()) for k in range(6)]
+            return pa.RecordBatch.from_arrays(cols, ["ra", "a1", "a2", "rb", "b1", "b2"])
+
         for batch in batches:
+            kind = batch.schema.field(1).type
+            tasks, ids, d1, d2, rest = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
             out = []
-            for t, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                if t != task:
+            for k, s in enumerate(shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), words)):
+                if tasks[k] != task:
                     out += decide(own)
-                    task, own = t, []
-                own.append((i, text))
-            yield out
-        yield decide(own)
+                    task, own = tasks[k], {}
+                if digests(s) == (d1[k], d2[k]):  # an id may have other texts too
+                    own[ids[k], d1[k], d2[k]] = s, rest[k]
+            yield pack(out)
+        if kind is not None:
+            yield pack(decide(own))
+
+    dealt = rows.repartition("task").sortWithinPartitions("task")
+    found = dealt.mapInArrow(run, f"ra {kind}, a1 long, a2 long, rb {kind}, b1 long, b2 long")
+    return found.select(_class("ra", "a1", "a2").alias("a"), _class("rb", "b1", "b2").alias("b"))
 
-    def as_arrow(batches):
-        types = None
-        for out in run(batches):
-            types = types or pa.schema([("a", pa.int64()), ("b", pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=types)
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(as_arrow, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+def _class(rep: str, d1: str, d2: str):
+    """A class as a vertex; the order is that of representatives."""
+    return F.struct(F.col(rep).alias("rep"), F.col(d1).alias("d1"), F.col(d2).alias("d2"))
 
 
-def _edges(profiles: DataFrame) -> DataFrame:
+def _edges(profiles: DataFrame, made: list[str]) -> DataFrame:
     """a, b of digests: sets that are linked are connected by these edges.
 
     A key that few sets have gives its pairs, and a pair stays if it shares as many
@@ -341,9 +388,9 @@ def _edges(profiles: DataFrame) -> DataFrame:
     # Most keys are of one set only; a bitmap of the others spares those the second shuffle.
     keyed = profiles.select("d1", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top"), F.count("*").alias("n")).where("hub <> top")
-    hubs = settled(hubs.select("key", "hub", ((F.col("n") > KEY_SETS) | (F.col("key").bitwiseAND(F.lit(128)) != 0)).alias("star")), "hubs")
+    hubs = settled(hubs.select("key", "hub", ((F.col("n") > KEY_SETS) | (F.col("key").bitwiseAND(F.lit(128)) != 0)).alias("star")), "hubs", made)
     rows = _shared_keys(profiles, hubs).join(hubs, "key").groupBy("key", "d1").agg(F.max("least").alias("least"), F.first("hub").alias("hub"), F.first("star").alias("star"))
-    rows = settled(rows, "shared")
+    rows = settled(rows, "shared", made)
     stars = rows.where("star and d1 <> hub").select(F.col("d1").alias("a"), F.col("hub").alias("b"))
     few = rows.where("not star").select("key", "d1", "least")
     other = few.select("key", F.col("d1").alias("b"), F.col("least").alias("least_b"))
@@ -353,51 +400,94 @@ def _edges(profiles: DataFrame) -> DataFrame:
     return stars.unionByName(counted.where("shared >= needed").select("a", "b")).distinct()
 
 
-def linked_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of ``docs``."""
+def _resolved(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, first (whether the row is of its component's first class and id): a row for each row of ``docs``."""
     num, den = similarity
-    profiles = settled(_profiles(docs, words, num, den), "profiles")
+    spark, made = docs.sparkSession, []
+    keyed = settled(_profiles(docs, words, num, den), "profiles", made)
+    profiles = settled(keyed.drop("keys", "least"), "sizes")
     filled = profiles.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = settled(classes, "classes")
 
-    edges = _edges(profiles)
     # Vertices are digests: where two sets share one, both are in its cluster.
-    clusters = settled(components(edges, "clusters"), "clustered")
-
-    # Tasks: a cluster, or a pair of its chunks.
-    sizes = classes.select("rep", "n_shingles", F.col("d1").alias("v")).join(clusters, "v")
-    totals = sizes.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    chunks = F.ceil(F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)).cast("int")
-    placed = sizes.join(totals.select("component", chunks.alias("k")), "component")
-    placed = placed.withColumn("c", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("k")).cast("int"))
-    placed = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = placed.select(
-        F.col("rep").alias("doc_id"),
-        F.xxhash64("component", F.least("c", "x"), F.greatest("c", "x")).alias("task"),
-    )
-    links = settled(_verified(docs.where("doc_id is not null"), members, words, num, den), "links")
+    clusters = settled(components(_edges(keyed, made), "clusters"), "clustered")
+    for path in made:
+        discard(spark, path)
+
+    filled_docs = docs.where("doc_id is not null")
+    placed = settled(_placed(classes, clusters), "placed")
+    first = placed.select(F.col("rep").alias("doc_id"), "d1", "d2", F.xxhash64("component", "chunk").alias("task"), F.lit(False).alias("rest"))
+    links = settled(_verified(filled_docs, settled(first, "members"), words, num, den), "links")
     found = components(links, "linked")
-
-    named = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left")
-    named = named.withColumn("component", F.coalesce("component", "rep")).where("copies > 1 or component <> rep")
-    spread = named.select("d1", "d2", "n_shingles", "component", F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > 1, SALTS - 1).otherwise(0))).alias("salt"), "copies")
-    salted = profiles.select("doc_id", "n_shingles", "d1", "d2", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    single = spread.where("copies = 1").drop("salt", "copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = spread.where("copies > 1").drop("copies").unionByName(single)
-    back = salted.join(spread, ["d1", "d2", "n_shingles", "salt"], "left")
+    if not placed.where("chunks > 1").isEmpty():
+        found = settled(found, "linked")
+        second = settled(_rest(placed, found), "members")
+        if not second.isEmpty():
+            more = settled(_verified(filled_docs, second, words, num, den), "links")
+            found = components(links.unionByName(more), "linked")
+
+    own = _class("rep", "d1", "d2")
+    named = classes.join(found.withColumnRenamed("v", "own"), own == F.col("own"), "left")
+    named = named.withColumn("root", F.coalesce("component", own)).where((F.col("copies") > 1) | (F.col("root") != own))
+    named = named.select("d1", "d2", "n_shingles", "copies", F.col("root.rep").alias("component"), F.when(F.col("root") == own, F.col("rep")).alias("stays"))
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("copies")
+    salted = profiles.select("doc_id", "mark", "n_shingles", "d1", "d2", F.pmod(F.xxhash64(F.lit(3), "doc_id", "mark"), F.lit(SALTS)).cast("int").alias("salt"))
+    back = salted.join(spread.withColumn("linked", F.lit(True)), ["d1", "d2", "n_shingles", "salt"], "left")
     return back.select(
         "doc_id",
+        "mark",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        (F.col("doc_id").isNull() | F.col("linked").isNull() | F.col("doc_id").eqNullSafe(F.col("stays"))).alias("first"),
     )
 
 
+def _placed(classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """rep, d1, d2, component, chunks, chunk of the classes that are in a cluster; the first of a cluster is in each of its chunks."""
+    own = classes.select("rep", "d1", "d2", "n_shingles").join(clusters.withColumnRenamed("v", "d1"), "d1")
+    totals = own.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"), F.min(_class("rep", "d1", "d2")).alias("first"))
+    chunks = F.ceil(F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)).cast("int")
+    placed = own.join(totals.select("component", "first", chunks.alias("chunks")), "component")
+    chunk = F.pmod(F.xxhash64(F.lit(5), "d1", "d2"), F.col("chunks")).cast("int")
+    whole = F.sequence(F.lit(0), F.col("chunks") - 1)
+    placed = placed.withColumn("chunk", F.explode(F.when(_class("rep", "d1", "d2") == F.col("first"), whole).otherwise(F.array(chunk))))
+    return placed.select("rep", "d1", "d2", "n_shingles", "component", "chunks", "chunk")
+
+
+def _rest(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """Tasks that hold the rest of each cluster of several chunks against all of it."""
+    own = placed.where("chunks > 1").dropDuplicates(["rep", "d1", "d2"]).withColumn("v", _class("rep", "d1", "d2"))
+    own = own.join(found.withColumnRenamed("component", "of"), "v", "left").withColumn("of", F.coalesce("of", "v"))
+    groups = own.groupBy("component", "of").agg(F.count("*").alias("n"))
+    most = groups.groupBy("component").agg(F.max(F.struct("n", "of")).alias("m")).select("component", F.col("m.of").alias("main"))
+    own = own.join(most, "component").withColumn("rest", F.col("of") != F.col("main"))
+    left = own.where("rest").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)).cast("int")
+    own = own.join(left.select("component", parts.alias("parts")), "component")
+    part = F.pmod(F.xxhash64(F.lit(9), "d1", "d2"), F.col("parts")).cast("int")
+    # A set is one of all in its chunk's tasks, and one of the rest in the tasks of its part.
+    all_ = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = own.where("rest").withColumn("part", part).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cols = ["rep", "d1", "d2", "component", "chunk", "part"]
+    both = all_.select(*cols, F.lit(False).alias("rest")).unionByName(rest.select(*cols, F.lit(True).alias("rest")))
+    both = both.groupBy(*cols).agg(F.max("rest").alias("rest"))
+    return both.select(F.col("rep").alias("doc_id"), "d1", "d2", F.xxhash64("component", "chunk", "part").alias("task"), "rest")
+
+
+def linked_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of ``docs``."""
+    return _resolved(docs, words, similarity).select("doc_id", "n_shingles", "component_id")
+
+
 def keep_representatives(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component, all columns unchanged; rows without an id stay."""
-    found = linked_components(docs, words, similarity)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__tm_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__tm_id"], "left_anti")
+    """``docs`` with the row of the smallest id of each component, all columns unchanged.
+
+    Rows without an id stay, and so do rows that repeat that id with an equal set.
+    """
+    found = _resolved(docs, words, similarity)
+    dropped = settled(found.where(~F.col("first")).select(F.col("doc_id").alias("id"), "mark").distinct(), "dropped")
+    return matching(docs, dropped, "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ training may see, times ``MARGIN``, since toxic texts may lack labels.
 
 Bounds of training, all parameters: ``POSITIVES`` toxic and ``UNLABELLED`` other
 texts, those with the smallest hash of their id; a text that several of them
-share counts once.  Their distinct grams come to the driver, never their texts.
-Everything else, scoring above all, reads every row and whole texts.
+share counts once.  Their distinct grams are written to the shared folder and
+counted there; the driver gets the columns that take part and, of each example,
+which of those it has.  Everything else, scoring above all, reads every row and
+whole texts, piece by piece where they are long.
 
 Labels are used only from rows whose crc32 of the id modulo ``FOLDS`` is not 0;
 texts of the other rows take no part in training.  Null texts count as empty and
@@ -27,6 +29,7 @@ Without any toxic label every score is 0.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import ALNUM, CHUNK
-from .storage import table
+from .storage import settled, table
 
 BITS = 18
 FOLDS = 5
@@ -46,6 +49,8 @@ STEPS = 300
 RATE = 1.0
 PENALTY = 1e-3
 GRAM = 5
+#: Toxic examples that must have a column.
+LEAST = 3
 
 
 class Model(NamedTuple):
@@ -101,20 +106,54 @@ def gram_columns(texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """cols binary (int32 values) beside y: the distinct grams of each text."""
+    """cols binary (int32 values), their digest and y: the distinct grams of each text."""
 
     def run(batches):
         for batch in batches:
             cols = []
             for scalar in batch.column(0).cast(pa.binary()):
                 cols.append(gram_columns([scalar.as_py()])[1].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cols, pa.binary()), batch.column(1)], ["cols", "y"])
+            digest = [hashlib.blake2b(c, digest_size=16).digest() for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(cols, pa.binary()), pa.array(digest, pa.binary()), batch.column(1)], ["cols", "digest", "y"])
 
-    return docs.select("text", "y").mapInArrow(run, "cols binary, y int")
+    return docs.select("text", "y").mapInArrow(run, "cols binary, digest binary, y int")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """col, c_p, c_u: how many toxic and other examples have a column; -1 stands for all examples."""
+
+    def run(batches):
+        total = np.zeros((2, 1 << BITS), np.int64)
+        n = np.zeros(2, np.int64)
+        for batch in batches:
+            for scalar, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total[y][np.frombuffer(scalar.as_py(), "<i4")] += 1  # columns of a text are distinct
+                n[y] += 1
+        at = np.flatnonzero(total.any(0))
+        cols = [np.append(-1, at), np.append(n[1], total[1][at]), np.append(n[0], total[0][at])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["col", "c_p", "c_u"])
+
+    parts = rows.select("cols", "y").mapInArrow(run, "col long, c_p long, c_u long")
+    return parts.groupBy("col").agg(F.sum("c_p").alias("c_p"), F.sum("c_u").alias("c_u"))
+
+
+def _kept(rows: DataFrame, names: np.ndarray) -> DataFrame:
+    """Of each example the places in ``names`` of the columns it has."""
+    names = names.astype("<i4")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for scalar in batch.column(0):
+                own = np.frombuffer(scalar.as_py(), "<i4")
+                out.append(np.flatnonzero(np.isin(names, own)).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], ["cols", "digest", "y"])
+
+    return rows.select("cols", "digest", "y").mapInArrow(run, "cols binary, digest binary, y int")
 
 
 def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int):
-    """Features and y (1: toxic, 0: unlabelled) of the bounded sample, and the prior."""
+    """The columns that take part, each example's share of them, y (1: toxic, 0: unlabelled) and the prior."""
     seen = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     seen = seen.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     prior = seen.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
@@ -124,30 +163,48 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     picked = [(r[0], 1) for r in toxic.collect()] + [(r[0], 0) for r in others.collect()]
     kind = docs.schema["doc_id"].dataType.simpleString()
     marks = docs.sparkSession.createDataFrame(picked, f"doc_id {kind}, y int")
-    rows = _features(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")).collect()
-    unique: dict[tuple[int, bytes], np.ndarray] = {}
-    for r in sorted(rows, key=lambda r: (r.y, bytes(r.cols))):
-        unique[r.y, bytes(r.cols)] = np.frombuffer(r.cols, "<i4")
-    return list(unique.values()), np.array([y for y, _ in unique], int), float(prior)
+    found = _features(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
+    rows = settled(found.dropDuplicates(["y", "digest"]), "sample").coalesce(8)  # bounded, so a few tasks are enough
+    counts = _counted(rows)
+    least = counts.where((F.col("c_p") >= LEAST) | (F.col("col") < 0)).orderBy("col").toArrow()
+    col, c_p, c_u = (least.column(k).to_numpy() for k in range(3))
+    if not len(col) or not c_p[0] or not c_u[0] or prior <= 0:
+        return np.zeros(0, np.int64), [], np.zeros(0, int), 0.0
+    names = col[1:][clear_columns(c_p[1:], c_u[1:], int(c_p[0]), int(c_u[0]))]
+    table = _kept(rows, names).toArrow().sort_by([("y", "ascending"), ("digest", "ascending")])
+    kept = [np.frombuffer(x.as_py(), "<i4") for x in table.column("cols")]
+    return names, kept, table.column("y").to_numpy().astype(int), float(prior)
+
+
+def clear_columns(c_p: np.ndarray, c_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Which columns are clearly more frequent among n_p toxic texts than among n_u others."""
+    s_p, s_u = c_p / n_p, c_u / n_u
+    clear = (s_p - s_u) / np.sqrt((s_u * (1 - s_u) + 1e-3) / n_p)
+    return np.flatnonzero((c_p >= LEAST) & (clear >= 5) & (s_p >= 3 * s_u))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
-    """The classifier of least corrected risk over the sample; nothing is toxic without toxic examples."""
-    size = 1 << BITS
+def risk(v: np.ndarray, bias: float, cols: np.ndarray, where: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, np.ndarray, float]:
+    """The corrected risk without the penalty, and its gradient by weights and bias; held at zero, the clean part has none."""
     toxic, other = y == 1, y == 0
-    n_p, n_u = int(toxic.sum()), int(other.sum())
+    z = np.bincount(where, v[cols], len(y)) + bias
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clean = np.logaddexp(0, z[other]).mean() - prior * np.logaddexp(0, z[toxic]).mean()
+    # Derivatives of the logistic losses: s - 1 where a text is called toxic, s where clean.
+    g = np.where(toxic, prior * (s - 1) / toxic.sum(), 0.0)
+    if clean >= 0:
+        g += np.where(toxic, -prior * s / toxic.sum(), s / other.sum())
+    return prior * np.logaddexp(0, -z[toxic]).mean() + max(0.0, clean), np.bincount(cols, g[where], len(v)), g.sum()
+
+
+def descend(names: np.ndarray, kept: list[np.ndarray], y: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
+    """The classifier of least corrected risk; examples are given by places in ``names``; nothing is toxic without toxic examples."""
+    weights = np.zeros(1 << BITS, np.float32)
+    toxic = y == 1
+    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
     if not n_p or not n_u or prior <= 0:
-        return Model(np.zeros(size, np.float32), -np.inf)
+        return Model(weights, -np.inf)
     prior = min(0.99, prior * MARGIN)
-    count = lambda own: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(own)]), minlength=size)
-    c_p, c_u = count(toxic), count(other)
-    s_p, s_u = c_p / n_p, c_u / n_u
-    clear = (s_p - s_u) / np.sqrt((s_u * (1 - s_u) + 1e-3) / n_p)
-    names = np.flatnonzero((c_p >= 3) & (clear >= 5) & (s_p >= 3 * s_u))
-    place = np.full(size, -1, np.int64)
-    place[names] = np.arange(len(names))
-    kept = [place[r][place[r] >= 0] for r in rows]
-    cols = np.concatenate(kept)
+    cols = np.concatenate(kept).astype(np.int64)
     where = np.repeat(np.arange(len(kept)), [len(r) for r in kept])
     # The step stays below the inverse curvature, which a few power iterations estimate.
     share = np.where(toxic, 2 * prior / n_p, 1 / n_u)
@@ -163,27 +220,32 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, steps: int = STEPS,
     b = vb = ceiling = float(np.log(prior / (1 - prior)))
     t = 1.0
     for _ in range(steps):
-        z = np.bincount(where, v[cols], len(kept)) + vb
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean_risk = np.logaddexp(0, z[other]).mean() - prior * np.logaddexp(0, z[toxic]).mean()
-        # Derivatives of the logistic losses: s - 1 where a text is called toxic, s where clean.
-        g = np.where(toxic, prior * (s - 1) / n_p, 0.0)
-        if clean_risk >= 0:
-            g += np.where(toxic, -prior * s / n_p, s / n_u)
-        step = v - rate * np.bincount(cols, g[where], len(names))
+        _, slope, lift = risk(v, vb, cols, where, y, prior)
+        step = v - rate * slope
         step = np.sign(step) * np.maximum(0, np.abs(step) - rate * penalty)
-        bias = min(ceiling, vb - rate * g.sum())
+        bias = min(ceiling, vb - rate * lift)
         longer = (1 + np.sqrt(1 + 4 * t * t)) / 2
         pull = 0.9 * (t - 1) / longer
         v, vb = step + pull * (step - w), bias + pull * (bias - b)
         w, b, t = step, bias, longer
-    weights = np.zeros(size, np.float32)
     weights[names] = w
     return Model(weights, float(b))
 
 
+def fit(rows: list[np.ndarray], y: np.ndarray, prior: float) -> Model:
+    """The same from the columns of every example, for samples that are at hand."""
+    n_p, n_u = int((y == 1).sum()), int((y == 0).sum())
+    if not n_p or not n_u:
+        return descend(np.zeros(0, np.int64), [], y, 0.0)
+    count = lambda own: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(own)]), minlength=1 << BITS)
+    names = clear_columns(count(y == 1), count(y == 0), n_p, n_u)
+    place = np.full(1 << BITS, -1, np.int64)
+    place[names] = np.arange(len(names))
+    return descend(names, [place[r][place[r] >= 0] for r in rows], y, prior)
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    return fit(*_sample(docs, labels, positives, unlabelled))
+    return descend(*_sample(docs, labels, positives, unlabelled))
 
 
 def logits(texts: list[bytes | None], model: Model) -> np.ndarray:

@@ -49,7 +49,7 @@ def corpus(seed, n_groups=25):
 
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100)])
 def test_components_equal_brute_force(spark, monkeypatch, k, num, den):
-    for seed, most in ((1, 4096), (2, 3)) if k == 3 else ((3, 4),):  # the second deals clusters to many chunks
+    for seed, most in ((1, 4096), (2, 3)) if k == 3 else ((3, 1),):  # the others deal clusters to three and more chunks
         monkeypatch.setattr(J, "TASK_DOCS", most)
         monkeypatch.setattr(J, "KEY_SETS", 64 if seed == 1 else 3)
         rows = corpus(seed)
@@ -127,6 +127,35 @@ def test_graph_components(spark):
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(50)} | {700: 700, 701: 700}
 
 
+def test_ids_of_any_type_and_repeated_ids(spark):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    near = lambda t, w: t.rsplit(" ", 1)[0] + " " + w
+    rows = [("1", one), ("1", two), ("2", near(two, "x")), ("3", near(one, "y")), ("4", "c d e f"), ("5", near(one, "z")), ("5", "g h i j"), ("6", near(two, "w"))]
+    docs = spark.createDataFrame([(i, t, i, 0) for i, t in rows], "doc_id string, text string, mark string, d1 int")
+    got = sorted((r.doc_id, r.component_id) for r in J.linked_components(docs, 3, (90, 100)).collect())
+    assert got == [("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("5", "1"), ("5", "5"), ("6", "1")]
+    kept = J.keep_representatives(docs, 3, (90, 100))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:1]) for r in kept.collect()) == [("1", "a"), ("1", "b"), ("4", "c"), ("5", "g")]
+
+
+def test_rest_of_a_cluster_of_many_chunks(spark, monkeypatch):
+    """Two near groups that share a key only: the second is the rest and is compared with every chunk."""
+    monkeypatch.setattr(J, "TASK_DOCS", 5)
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        cut = 40 if i % 3 == 0 else 0  # every third text has another end
+        w[200 - cut :] = [f"z{k}" for k in range(cut)]
+        w[rnd.randrange(100)] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked_components(docs, 3, (90, 100)).collect()}
+    assert got == brute(rows, 3, 90, 100) and len({c for _, c in got.values()}) > 1
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (0, "a b  c\nD"), (7, None)], "doc_id long, text string")
     got = sorted(map(str, J.linked_components(docs, 3, (90, 100)).collect()))

@@ -72,3 +72,56 @@ def test_risk_never_counts_below_zero(prior):
     rows = [rng.choice(500, 30, replace=False).astype(np.int32) for _ in range(300)]
     model = T.fit(rows, np.array([1] * 100 + [0] * 200), prior)
     assert np.isfinite(model.weights).all() and np.isfinite(model.bias)
+
+
+def test_risk_and_gradient_equal_a_plain_loop():
+    import math
+
+    rng = np.random.default_rng(3)
+    kept = [rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(30)]
+    y = np.array([1] * 10 + [0] * 20)
+    cols, where = np.concatenate(kept), np.repeat(np.arange(30), [len(r) for r in kept])
+
+    def plain(w, b, prior):
+        z = [sum(w[c] for c in r) + b for r in kept]
+        called_clean = lambda x: math.log1p(math.exp(x))
+        p = [x for x, k in zip(z, y, strict=True) if k]
+        u = [x for x, k in zip(z, y, strict=True) if not k]
+        clean = sum(map(called_clean, u)) / len(u) - prior * sum(map(called_clean, p)) / len(p)
+        return prior * sum(called_clean(-x) for x in p) / len(p) + max(0.0, clean), clean
+
+    held = 0
+    for _ in range(40):
+        w, b, prior = rng.normal(size=6) * 2, float(rng.normal()) * 2, float(rng.uniform(0.05, 0.95))
+        value, slope, lift = T.risk(w, b, cols, where, y, prior)
+        wanted, clean = plain(w, b, prior)
+        held += clean < 0
+        assert abs(value - wanted) < 1e-9
+        for k in range(7):
+            dw, db = np.eye(7)[k, :6] * 1e-6, 1e-6 * (k == 6)
+            rise = (plain(w + dw, b + db, prior)[0] - plain(w - dw, b - db, prior)[0]) / 2e-6
+            assert abs(rise - (slope[k] if k < 6 else lift)) < 1e-5
+    assert held  # cases where the clean part is held at zero
+
+
+def test_table_sample_equals_the_same_in_memory(spark):
+    rows, labels, _ = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    names, kept, y, prior = T._sample(docs, marks, 1000, 1000)
+    toxic = {i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 5}
+    texts = dict(rows)
+    own = [texts[i] for i in toxic] + [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    mine = [T.gram_columns([t.encode()])[1] for t in own]
+    whole = np.array([1] * len(toxic) + [0] * (len(own) - len(toxic)))
+    count = lambda k: np.bincount(np.concatenate([m for m, z in zip(mine, whole, strict=True) if z == k]), minlength=1 << T.BITS)
+    assert names.tolist() == T.clear_columns(count(1), count(0), len(toxic), len(own) - len(toxic)).tolist()
+    assert sorted(zip(y.tolist(), map(tuple, kept), strict=True)) == sorted((int(z), tuple(np.flatnonzero(np.isin(names, m)))) for m, z in zip(mine, whole, strict=True))
+    assert 0 < prior < 0.3
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 600_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    rows, labels, _ = corpus(300)
+    model = T.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(0 <= r.score <= 1 for r in T.score(docs, model).collect())
