@@ -8,7 +8,9 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text that are hashed at a time; arrays of eight times this size are made.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows of an Arrow batch that are worked on at a time.
+ROWS = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = b" \t\n\v\f\r"
 
@@ -28,6 +30,13 @@ WHITE = spaced_table(_SPACES)
 ALNUM = spaced_table(bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)))
 
 
+def sliced(batches: Iterable, rows: int = ROWS) -> Iterator:
+    """The batches in parts of so many rows, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -51,7 +60,7 @@ def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     word = raw != 32
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
-    n = 1 << max(20, int(len(raw)).bit_length())
+    n = 1 << max(18, int(len(raw)).bit_length())
     up, down = _powers(n)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64, out=sums[1:])

@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .hashing import WHITE, hashed, mixed
+from .hashing import WHITE, hashed, mixed, sliced
 from .storage import discard, matching, settled, table, text_mark
 
 WORDS = 5
@@ -193,7 +193,7 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         shape = bands(num, den)
         seen: set[tuple[int, int]] = set()  # a set's keys are needed once in a task
         none = np.zeros(0, np.uint64), np.zeros(0, np.int16)
-        for batch in batches:
+        for batch in sliced(batches):
             size, first, second, keys, least = [], [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words):
                 size.append(len(s))
@@ -316,7 +316,7 @@ def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
     bits, shared = sieve[0], profiles.sparkSession.sparkContext.broadcast(sieve[1])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             listed = batch.column(1)
             keys = listed.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths().fill_null(0)))
@@ -352,7 +352,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: in
             cols = [pa.array([x[k] for x in found], kind if k in (0, 3) else pa.int64()) for k in range(6)]
             return pa.RecordBatch.from_arrays(cols, ["ra", "a1", "a2", "rb", "b1", "b2"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.schema.field(1).type
             tasks, ids, d1, d2, rest = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
             out = []
