@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import ALNUM
-from .storage import table
+from .storage import table, unused
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
 SAMPLE = 8
 BLOCK_CHARS = 8_000_000
+FOUND = ("found_words", "found_spans", "found_items")
 _END, _GAP, _FIRST = 0, 1, 2
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -233,7 +234,7 @@ def _blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[str, bytes
     """The benchmark in blocks of about so many characters."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // chars)
+    n = max(1, -(-total // chars))
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else items
         yield sorted((r.i, r.text.encode()) for r in block.collect())
@@ -250,18 +251,16 @@ def _union(a: list[tuple[int, int]], b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with n_words, spans (merged, in words, as starts and ends in turn) and items beside all columns it has.
+    """``docs`` with n_words, spans (merged, in words, as starts and ends in turn) and items as last columns.
 
-    The three columns are named __tm_words, __tm_spans and __tm_items.
+    They are named found_words, found_spans and found_items, or otherwise where ``docs`` has such columns.
     """
-    out = docs.withColumns({
-        "__tm_words": F.lit(0).cast("long"),
-        "__tm_spans": F.array().cast("array<long>"),
-        "__tm_items": F.array().cast("array<string>"),
-    })
+    names = unused(docs.columns, *FOUND)
+    kinds = F.lit(0).cast("long"), F.array().cast("array<long>"), F.array().cast("array<string>")
+    out = docs.select("*", *(kind.alias(name) for name, kind in zip(names, kinds, strict=True)))
     at = out.columns.index("text")
     shape = out.schema
-    for block in list(_blocks(benchmark, block_chars)) or [[]]:
+    for block in _blocks(benchmark, block_chars):  # one block of the benchmark at a time is here
         book = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
 
         def run(batches, book=book):
@@ -290,23 +289,23 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_ch
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = occurrences(docs.select("doc_id", "text"), benchmark, window, block_chars)
     hit = F.aggregate(
-        F.sequence(F.lit(0), F.size("__tm_spans") - 1, F.lit(1)),
+        F.sequence(F.lit(0), F.size("found_spans") - 1, F.lit(1)),
         F.lit(0).cast("long"),
-        lambda total, i: total + F.when(i % 2 == 0, -F.get("__tm_spans", i)).otherwise(F.get("__tm_spans", i)),
+        lambda total, i: total + F.when(i % 2 == 0, -F.get("found_spans", i)).otherwise(F.get("found_spans", i)),
     )
     return found.select(
         "doc_id",
-        F.col("__tm_words").alias("n_words"),
-        F.when(F.size("__tm_spans") > 0, hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
-        F.size("__tm_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("__tm_items"), ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("__tm_spans") > 0).alias("contaminated"),
+        F.col("found_words").alias("n_words"),
+        F.when(F.size("found_spans") > 0, hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
+        F.size("found_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("found_items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("found_spans") > 0).alias("contaminated"),
     )
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start, end: merged spans in code points, from the first character of a span's words to the last."""
-    found = occurrences(docs.select("doc_id", "text"), benchmark, window).where(F.size("__tm_spans") > 0)
+    found = occurrences(docs.select("doc_id", "text"), benchmark, window).where(F.size("found_spans") > 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -321,12 +320,13 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     end.append(places[e - 1][1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "start", "end"])
 
-    return found.select("doc_id", "text", "__tm_spans").mapInArrow(run, f"doc_id {kind}, start long, end long")
+    return found.select("doc_id", "text", "found_spans").mapInArrow(run, f"doc_id {kind}, start long, end long")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which any phrase occurs, all columns unchanged."""
-    return occurrences(docs, benchmark, window).where(F.size("__tm_spans") == 0).select(*docs.columns)
+    found = occurrences(docs, benchmark, window)
+    return found.where(F.size(found.columns[-2]) == 0).select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

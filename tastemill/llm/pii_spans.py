@@ -2,14 +2,14 @@
 
 Base kinds (email, ip, card, phone) are matched leftmost and without overlap
 within their kind; a match that its check rejects is dropped and not tried again
-in part.  Two more kinds are proposed by the method: ``iban`` needs a correct
-mod-97 remainder, ``pan`` is a card number of 13 to 15 digits that passes Luhn
+in part.  Two more kinds are proposed by the method: ``iban`` has as many
+characters as its country's numbers and a correct mod-97 remainder, ``pan`` is a card number of 13 to 15 digits that passes Luhn
 and has a context word near it.  Every span has a score from its pattern, raised
 by a matching word and lowered by a contrary one within ``CONTEXT`` characters;
 the added kinds need ``THRESHOLD``, base spans stay at any score.
 
 Offsets are code points with an exclusive end.  Each pattern runs in time linear
-in the text, also on long runs of one character.  A null text counts as empty;
+in the text, also on long runs of one character and very long texts.  A null text counts as empty;
 repeated rows give repeated results; other columns are not read.
 """
 
@@ -52,7 +52,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: How many characters an IBAN of each country has, without spaces.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 
 class Span(NamedTuple):
@@ -102,6 +111,19 @@ def _byte(part: str) -> bool:
     return len(part) < 4 and int(part or "0") <= 255
 
 
+def _iban_end(text: str, at: int, left: int) -> int:
+    """The place after ``left`` more letters and digits, single spaces between them passed over; -1 if they aren't there or the word goes on."""
+    while left:
+        if text[at : at + 1] == " ":
+            at += 1
+        c = text[at : at + 1]
+        if not ("A" <= c <= "Z" or "0" <= c <= "9"):
+            return -1
+        at += 1
+        left -= 1
+    return -1 if text[at : at + 1].isascii() and text[at : at + 1].isalnum() else at
+
+
 def _proposed(text: str):
     for a, b in _emails(text):
         yield "email", a, b
@@ -117,9 +139,13 @@ def _proposed(text: str):
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m.group())) <= 15:
                 yield "phone", m.start(), m.end()
+    done = 0
     for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            yield "iban", m.start(), m.end()
+        length = _IBAN_LENGTHS.get(m.group()[:2])
+        end = _iban_end(text, m.end(), length - 4) if length and m.start() >= done else -1
+        if end >= 0 and mod97(text[m.start() : end]):
+            yield "iban", m.start(), end
+            done = end
 
 
 def _scored(text: str, kind: str, a: int, b: int) -> float:
@@ -173,7 +199,7 @@ def span_table(docs: DataFrame) -> DataFrame:
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of base kinds, the digest of base spans, all spans."""
+    """One row per document: counts of base kinds, the digest of base spans, all spans, and their scores in the same order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -184,10 +210,11 @@ def summary(docs: DataFrame) -> DataFrame:
             cols += [pa.array([sum(s.kind == k for s in own) for own in base], pa.int64()) for k in BASE]
             cols.append(pa.array([hashlib.sha256(_joined(own).encode()).hexdigest() for own in base], pa.string()))
             cols.append(pa.array([_joined(own) for own in rows], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            cols.append(pa.array([",".join(f"{s.score:.1f}" for s in own) for own in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"])
 
     fields = ", ".join(f"n_{k} long" for k in BASE)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {fields}, base_sha256 string, spans string, scores string")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

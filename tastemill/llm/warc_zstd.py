@@ -3,25 +3,29 @@
 Writing: each task writes the records of its partition to archives of about
 ``ARCHIVE_BYTES``.  An archive begins with a skippable frame (magic 0x184D2A5D)
 that holds its dictionary, itself compressed, trained on the archive's first
-records; every record follows as a frame of its own.  Of records with equal
+records (or taken from the archive before it where they are too few); every record follows as a frame of its own.  Of records with equal
 payloads the one with the smallest page_id is a response, the others are revisits
 that refer to it and have no payload.
 
 Reading: archives come through Spark's binary file source, so they may lie in any
-store it reads.  The reader takes the dictionary from the leading frame, finds
-each frame's end from its block headers, decodes it with its length bounded, and
-checks version line, header fields, Content-Length against the block, the closing
+store it reads, or from a listing that names them.  The reader takes the dictionary from the leading frame, finds
+each frame's end from its block headers, decodes it to the size that the frame
+states and no further (one that states none as a stream, up to ``limit`` bytes),
+and checks version line, header fields, Content-Length against the block, the closing
 empty lines and, for responses, payload length and digest.  A record that fails a
 check is returned with a reason and no values; it doesn't stop the others.
 
-An archive is first written under a name of its attempt and then renamed, and
-names come from the partition, so a task that runs again replaces its own files.
+Archives carry the number of the attempt that wrote them, and a table in the
+shared folder lists those of the attempts that counted; ``round_trip`` reads what
+is listed, so archives of a task that ran twice, or broke off, are not read.
 Which record is the response is decided on digests alone: minima per digest are
-pre-aggregated, and rows get them back by a salted join.
+pre-aggregated, and rows get them back by a join that is salted in the measure of
+the largest group.
 
 Defined results: null html is an empty payload.  Rows that repeat a page_id with
 an equal payload are written each; they are responses if their id is the
-smallest.  Among equal payloads null ids count as larger than any other.  A null
+smallest.  A record of more than ``limit`` bytes (as many as a value in Spark can
+hold, by default) is returned with the reason "too long".  Among equal payloads null ids count as larger than any other.  A null
 url is written as the empty target.  Columns besides page_id, url and html are
 not read; an empty table gives no archive and an empty result.
 """
@@ -41,14 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import scratch, table
+from .storage import scratch, settled, table
 
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 8 << 10
 SAMPLE_RECORDS = 96
 LEVEL = 3
 LEAST_BYTES = 0
-SALTS = 16
+#: Rows of a group of equal payloads for each of its salts.
+SALT_ROWS = 50_000
+#: Bytes of the largest record.
+LIMIT = (1 << 31) - 1
 #: Fixed values of the format.
 _DICTIONARY_MAGIC = 0x184D2A5D
 _FRAME_MAGIC = 0xFD2FB528
@@ -94,13 +101,17 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes]) -> bytes:
-    """A whole archive; the dictionary is trained on its first records."""
-    samples = records[:SAMPLE_RECORDS]
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary trained on the first of the records; None where they are too few or too short."""
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples)
-    except zstandard.ZstdError:  # too few or too short samples
-        trained = None
+        return zstandard.train_dictionary(DICTIONARY_BYTES, records[:SAMPLE_RECORDS])
+    except zstandard.ZstdError:
+        return None
+
+
+def archive(records: list[bytes], trained: zstandard.ZstdCompressionDict | None = None) -> bytes:
+    """A whole archive, with the given dictionary or one of its own."""
+    trained = trained or dictionary(records)
     out = []
     if trained is not None:
         stored = zstandard.ZstdCompressor(level=LEVEL).compress(trained.as_bytes())
@@ -109,7 +120,7 @@ def archive(records: list[bytes]) -> bytes:
     return b"".join([*out, *map(coder.compress, records)])
 
 
-def _roles(pages: DataFrame, least: int, salts: int) -> DataFrame:
+def _roles(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html, role struct(refers_to): null role values for responses."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html"))
@@ -117,6 +128,8 @@ def _roles(pages: DataFrame, least: int, salts: int) -> DataFrame:
         "page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("size")
     )
     firsts = slim.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = settled(firsts, "firsts")
+    salts = 1 + (firsts.agg(F.max("n")).first()[0] or 0) // SALT_ROWS
     spread = firsts.select("sha", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     joined = rows.join(spread, ["sha", "size", "salt"], "left")
@@ -124,7 +137,7 @@ def _roles(pages: DataFrame, least: int, salts: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record per row to archives below ``path``; returns (file, records, bytes) of each archive."""
+    """Write a record per row to archives below ``path``; returns the table of (file, records, bytes) of each archive."""
 
     def run(batches):
         place = TaskContext.get()
@@ -132,16 +145,16 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, archiv
         store.create_dir(root, recursive=True)
         held: list[bytes] = []
         size = count = 0
+        trained = None
 
         def flush():
-            nonlocal held, size, count
-            name = f"{root}/part-{place.partitionId():06d}-{count:05d}.warc.zst"
-            draft = f"{root}/.{place.taskAttemptId()}-{count:05d}.draft"
-            data = archive(held)
-            with store.open_output_stream(draft) as f:
+            nonlocal held, size, count, trained
+            trained = dictionary(held) or trained
+            name = f"part-{place.partitionId():06d}-{place.taskAttemptId():08d}-{count:05d}.warc.zst"
+            data = archive(held, trained)
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(data)
-            store.move(draft, name)
-            done = (name, len(held), len(data))
+            done = (f"{path}/{name}", len(held), len(data))
             held, size, count = [], 0, count + 1
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in done], ["file", "records", "bytes"])
 
@@ -156,9 +169,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, archiv
         if held:
             yield flush()
 
-    roled = _roles(pages, least, SALTS)
-    listing = roled.mapInArrow(run, "file string, records long, bytes long").collect()  # a row for each archive
-    return pages.sparkSession.createDataFrame([tuple(r) for r in listing], "file string, records long, bytes long")
+    return settled(_roles(pages, least).mapInArrow(run, "file string, records long, bytes long"), "archives")
 
 
 # -- reading ---------------------------------------------------------------
@@ -181,15 +192,47 @@ def _frame_end(data: bytes, at: int) -> int:
     return pos
 
 
-def frames(data: bytes, limit: int = 1 << 30) -> Iterator[bytes | None]:
-    """The decoded frames of an archive in order; None for one that can't be decoded, and last where the rest can't be split."""
+#: Stands for a frame that was not decoded because it is longer than allowed.
+TOO_LONG = object()
+
+
+def _decoded(decoder: zstandard.ZstdDecompressor, frame: bytes, limit: int):
+    """The content of a frame, None if it is broken, TOO_LONG beyond the limit; never more than that is decoded."""
+    size = zstandard.frame_content_size(frame)
+    if size > limit:
+        return TOO_LONG
+    try:
+        if size >= 0:
+            return decoder.decompress(frame, max_output_size=size) if size else b""
+        with decoder.stream_reader(frame) as stream:
+            out = _read(stream, limit)
+    except zstandard.ZstdError:
+        return None
+    return TOO_LONG if out is None else out
+
+
+def _read(stream, limit: int) -> bytes | None:
+    parts, size = [], 0
+    while part := stream.read(1 << 20):
+        size += len(part)
+        if size > limit:
+            return None
+        parts.append(part)
+    return b"".join(parts)
+
+
+def frames(data: bytes, limit: int = LIMIT) -> Iterator:
+    """The decoded frames of an archive in order; None for one that can't be decoded, and last where the rest can't be split; TOO_LONG beyond the limit."""
     at, dictionary = 0, None
     if len(data) >= 8:
         magic, size = struct.unpack_from("<II", data)
         if magic == _DICTIONARY_MAGIC:
             stored, at = data[8 : 8 + size], 8 + size
             if stored[:4] == struct.pack("<I", _FRAME_MAGIC):
-                stored = zstandard.ZstdDecompressor().decompress(stored, max_output_size=1 << 24)
+                stored = _decoded(zstandard.ZstdDecompressor(), stored, 1 << 24)
+                if not isinstance(stored, bytes):
+                    yield None
+                    return
             dictionary = zstandard.ZstdCompressionDict(stored)
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(data):
@@ -203,18 +246,17 @@ def frames(data: bytes, limit: int = 1 << 30) -> Iterator[bytes | None]:
         except (ValueError, zstandard.ZstdError):
             yield None
             return
-        try:
-            yield decoder.decompress(data[at:end], max_output_size=limit)
-        except zstandard.ZstdError:
-            yield None
+        yield _decoded(decoder, data[at:end], limit)
         at = end
 
 
-def parse(data: bytes | None) -> Record:
+def parse(data) -> Record:
     """A record from the bytes of its frame, checked."""
     bad = lambda why: Record(None, None, None, None, None, None, why)
     if data is None:
         return bad("frame")
+    if data is TOO_LONG:
+        return bad("too long")
     head, mark, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", errors="replace").split("\r\n")
     if not mark or lines[0] not in ("WARC/1.0", "WARC/1.1"):
@@ -249,45 +291,70 @@ def parse(data: bytes | None) -> Record:
     return Record(named[len(_ID) :] or None, int(size), digest, kind, refers[len(_ID) :] or None, payload if kind == "response" else None, None)
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False, id_type: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, problem (and payload) of every record below ``path``."""
-    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"] + ["payload"] * payloads
-    types = {"payload_bytes": pa.int64(), "payload": pa.binary()}
+_FIELDS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem", "payload"]
+_TYPES = {"payload_bytes": ("long", pa.int64()), "payload": ("binary", pa.binary())}
+
+
+def _records(contents: DataFrame, load, payloads: bool, id_type: str, limit: int) -> DataFrame:
+    """The records of archives, each a value that ``load`` makes bytes of."""
+    fields = _FIELDS[: len(_FIELDS) - (not payloads)]
+
+    def pack(held):
+        return pa.RecordBatch.from_arrays([pa.array([getattr(r, f) for r in held], _TYPES.get(f, ("", pa.string()))[1]) for f in fields], fields)
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 held: list[Record] = []
-                for data in frames(content.as_py()):
+                for data in frames(load(content.as_py()), limit):
                     held.append(parse(data))
                     if len(held) == 512:
                         yield pack(held)
                         held = []
                 yield pack(held)
 
-    def pack(held):
-        return pa.RecordBatch.from_arrays([pa.array([getattr(r, f) for r in held], types.get(f, pa.string())) for f in fields], fields)
-
-    schema = ", ".join(f"{f} {'long' if f == 'payload_bytes' else 'binary' if f == 'payload' else 'string'}" for f in fields)
-    out = stored.mapInArrow(run, schema)
+    out = contents.mapInArrow(run, ", ".join(f"{f} {_TYPES.get(f, ('string',))[0]}" for f in fields))
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
+def read_archives(spark: SparkSession, path: str, payloads: bool = False, id_type: str = "bigint", limit: int = LIMIT) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, problem (and payload) of every record below ``path``."""
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
+    return _records(stored, lambda content: content, payloads, id_type, limit)
+
+
+def read_listed(listing: DataFrame, payloads: bool = False, id_type: str = "bigint", limit: int = LIMIT) -> DataFrame:
+    """The same of the archives that a table names (file)."""
+
+    def load(file: str) -> bytes:
+        store, name = pyarrow.fs.FileSystem.from_uri(file)
+        with store.open_input_stream(name, compression=None) as f:
+            return f.read()
+
+    return _records(listing.select("file"), load, payloads, id_type, limit)
+
+
 def round_trip(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """The records of ``pages`` as they read back from archives in the shared folder."""
-    spark = pages.sparkSession
-    path = scratch(spark, "warc")
-    written = write_archives(pages, path, least)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    if written.isEmpty():
-        return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, problem string")
-    return read_archives(spark, path, id_type=kind)
+    written = write_archives(pages, scratch(pages.sparkSession, "warc"), least)
+    spread = written.repartition(max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return read_listed(spread, id_type=pages.schema["page_id"].dataType.simpleString())
 
 
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("problem")
 
 
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS sha, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substring(sha, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM d
+"""
+
 QUERIES = {"op4_warc_zstd": op4_warc_zstd}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_warc_zstd": ORACLE}

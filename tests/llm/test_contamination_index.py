@@ -79,3 +79,11 @@ def test_spans_and_empty_tables(spark):
     assert [tuple(r) for r in C.removal_spans(d, b).collect()] == [(1, 7, 12)]
     assert C.report(d.limit(0), b).count() == 0
     assert not any(r.contaminated for r in C.report(d, b.limit(0)).collect())
+
+
+def test_columns_of_internal_names_stay(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    rows = [(1, "x a b c d e f g h i j k y", 5, "s"), (2, "clean words here", 6, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found_words int, FOUND_spans string")
+    kept = C.keep_uncontaminated(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[1]]

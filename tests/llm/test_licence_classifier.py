@@ -46,3 +46,27 @@ def test_edges(spark, model):
     got = sorted(map(tuple, L.scan(docs, model).collect()), key=str)
     assert got == sorted([(1, 3, 1, "mit", "mit:2"), (1, 0, 0, "", ""), (None, 0, 0, "", ""), (4, 0, 0, "", "")], key=str)
     assert L.scan(docs.limit(0), L.train(docs.limit(0))).count() == 0
+
+
+def test_notices_that_no_table_has(model):
+    for line, family in {
+        "Distributed under the terms of the GNU Lesser General Public License, version 2.1 or later": "lgpl",
+        "The files here are available under the BSD 3-Clause License": "bsd",
+        "You can use it under the Mozilla Public License, version 2.0": "mpl",
+        "covered by the GNU Affero General Public License, version 3": "agpl",
+        "Photos: CC BY-SA 4.0": "cc-by-sa",
+    }.items():
+        assert [(L.FAMILIES[f], sure) for _, f, _, sure in L.classify([line.encode()], model)] == [(family, True)], line
+
+
+def test_wrapped_notices_are_one_paragraph(model):
+    text = b"Story\nThis program is covered by the GNU Affero\nGeneral Public License, version 3\n\nMore of it here\nMozilla Public\nLicense, version 2.0"
+    count, found = L.notices([text, None], model)
+    assert {f for f, _, _ in found[0]} == {"agpl", "mpl"} and all(a in (1, 5) and b in (2, 6) for _, a, b in found[0]), found
+    assert count[1] == 0 and not found[1]
+
+
+def test_very_long_line(model):
+    line = b"word " * 300_000 + b"SPDX-License-Identifier: MIT"
+    count, found = L.notices([line + b"\n" + line[-28:]], model)
+    assert count == [2] and found == [[("mit", 1, 1)]]

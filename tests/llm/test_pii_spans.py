@@ -50,9 +50,19 @@ def test_added_kinds_and_context():
     assert P.redact("mail a@b.co now") == "mail <email> now"
 
 
+def test_ibans_end_with_their_country_s_length():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"{iban} BIC COBADEFF", f"{iban}, AB", f"IBAN: {iban.replace(' ', '')} X", f"{iban}\nGB82WEST12345698765432 Z"):
+        a = text.index("DE89")
+        assert [s[:3] for s in P.find(text) if s.kind == "iban"][0] == ("iban", a, a + len(iban.replace(" ", "") if "DE89370" in text else iban))
+    assert [s.start for s in P.find(f"{iban}\nGB82WEST12345698765432 Z") if s.kind == "iban"] == [0, 28]
+    assert not [s for s in P.find("DE89 3704 0044 0532 0130 00X") if s.kind == "iban"]
+    assert not [s for s in P.find("ZZ89 3704 0044 0532 0130 00") if s.kind == "iban"]
+
+
 def test_long_runs_take_linear_time():
     began = time.time()
-    for text in ("a" * 400_000 + "@", "1" * 400_000, "1." * 200_000, "+" * 400_000, "1 " * 200_000, "a@" * 200_000, "A" * 300_000):
+    for text in ("a" * 400_000 + "@", "1" * 400_000, "1." * 200_000, "+" * 400_000, "1 " * 200_000, "a@" * 200_000, "A" * 300_000, "DE89 " * 80_000, "DE89" * 100_000):
         P.find(text)
     assert time.time() - began < 20
 

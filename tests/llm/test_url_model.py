@@ -36,6 +36,7 @@ def test_rules_and_parts(spark):
         host, path, best = brute(u)
         r = rows[k]
         assert (r.host, r.path, r.rule) == (host, path, best[1] if best else None), u
+        assert (r.score is None) == (best is not None)
         assert r.verdict == (best[0] if best else "block" if U.score(host, path, model) >= 0.5 else "allow")
     assert U.judge(pages.limit(0)).count() == 0
 
@@ -46,3 +47,31 @@ def test_model_generalises():
         assert U.score(*U._split(url), model) > 0.6
     for url in ("https://www.ththing.example.org/en/1291/", "http://blog.tionsh.example.com/fr/7424.html", "https://m.ththnd.example.org/es/3"):
         assert U.score(*U._split(url), model) < 0.4
+
+
+def test_held_out_urls():
+    """Of each word's three urls the last, of another host and path, is kept from training."""
+    rows = U.labelled_urls()
+    model = U.train([row for k, row in enumerate(rows) if k % 3 != 2])
+    right = [(U.score(*U._split(u), model) >= 0.5) == bool(y) for u, y in rows[2::3]]
+    assert sum(right) / len(right) > 0.9
+
+
+def test_batch_equals_a_plain_model():
+    import math
+    import random
+
+    w, b = U.train()
+    rnd = random.Random(2)
+    urls = [("".join(rnd.choices("abc.-é", k=rnd.randint(0, 12))), "".join(rnd.choices("/ab1", k=rnd.randint(0, 9)))) for _ in range(200)]
+
+    def column(mark, gram):
+        packed = mark << 3 | len(gram)
+        for c in gram:
+            packed = (packed << 8 | c) % 2**64
+        return (packed * 0x9E3779B97F4A7C15 % 2**64) >> (64 - U.BITS)
+
+    for (h, p), got in zip(urls, U.scores([h for h, _ in urls], [p for _, p in urls], (w, b)), strict=True):
+        cols = {column(m, t[k : k + n]) for m, t in ((1, f"^{h}$".encode()), (2, f"^{p}$".encode())) for n in U.GRAMS for k in range(len(t) - n + 1)}
+        z = sum(float(w[c]) for c in cols) / math.sqrt(max(1, len(cols))) + b
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-6

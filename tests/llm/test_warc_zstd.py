@@ -68,3 +68,29 @@ def test_damage_is_reported():
     assert W.parse(records[0].replace(b"p0", b"q0")).problem == "payload"
     assert W.parse(records[0].replace(b"WARC-Date:", b"WARC-Date")).problem in ("header", "missing field")
     assert W.parse(None).problem == "frame"
+
+
+def test_no_frame_is_decoded_beyond_the_limit():
+    big = zstandard.ZstdCompressor(write_content_size=True).compress(b"x" * 5_000_000)
+    blind = zstandard.ZstdCompressor(write_content_size=False).compress(b"y" * 5_000_000)
+    small = zstandard.ZstdCompressor(write_content_size=False).compress(b"small")
+    got = list(W.frames(big + blind + small, limit=1000))
+    assert got == [W.TOO_LONG, W.TOO_LONG, b"small"] and W.parse(got[0]).problem == "too long"
+    assert [len(x) for x in W.frames(big + blind + small)] == [5_000_000, 5_000_000, 5]
+
+
+def test_unlisted_archives_are_not_read(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k}") for k in range(20)], "page_id long, url string, html string")
+    listing = W.write_archives(pages, path)
+    stray = W.archive([W.record(99, "u", b"p", W.payload_digest(b"p"), None)])
+    (tmp_path / "w" / "part-000000-00000099-00000.warc.zst").write_bytes(stray)  # of a task that did not end
+    assert sorted(r.page_id for r in W.read_listed(listing).collect()) == list(range(20))
+    assert W.read_archives(spark, path).count() == 21
+
+
+def test_salts_follow_the_largest_group(spark, monkeypatch):
+    monkeypatch.setattr(W, "SALT_ROWS", 3)
+    pages = spark.createDataFrame([(k, f"u{k}", "same" if k % 4 else f"own {k}") for k in range(60)], "page_id long, url string, html string")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    assert sorted((tuple(r)[:5] for r in W.round_trip(pages).collect()), key=str) == brute(rows)
