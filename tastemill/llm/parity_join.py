@@ -494,5 +494,32 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
 
 
+#: Sets whose similarity is 0.9 share one of the rarest tenth of either's shingles; what does is compared exactly.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), f AS (SELECT sh, count(*) AS df FROM s GROUP BY sh HAVING count(*) > 1
+), ranked AS (
+  SELECT doc_id, sh, n, coalesce(df, 1) AS df, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), sh) AS k
+  FROM s JOIN n USING (doc_id) LEFT JOIN f USING (sh)
+), p AS (SELECT doc_id, sh FROM ranked WHERE df > 1 AND k <= n - (90 * n + 99) // 100 + 1
+), c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b USING (sh) WHERE a.doc_id < b.doc_id
+), meet AS (
+  SELECT a, b, count(*) AS shared FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.sh = x.sh GROUP BY a, b
+), e AS (
+  SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e
+), reach AS (
+  SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT u.y, reach.c FROM reach JOIN u ON u.x = reach.v
+), least AS (SELECT v, min(c) AS c FROM reach GROUP BY v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least.c, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.v = doc_id
+"""
+
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_jaccard_join": ORACLE}
