@@ -107,15 +107,15 @@ def _populated(spark: SparkSession, keyed: DataFrame, folder: str | None, s: Ran
     fresh = lost.select("k", "path").join(probed, "path").select("k", F.lit(now).cast("long").alias("u"), F.col("media").alias("f"))
     filled = cache.merge(kept, fresh)
     if not folder:
-        return filled.localCheckpoint()  # a file is probed once, however often its features are read
+        return filled.persist()  # a file is probed once, however often its features are read
     cache.write_generation(filled, root)
     return cache.read(spark, root)
 
 
 def _tokens(rows: DataFrame, s: RankSettings) -> DataFrame:
-    """Feature tokens beside the rows, as ids below zero, apart from those of path tokens."""
+    """Feature tokens beside the rows, as 63-bit ids below zero, apart from those of path tokens."""
     cols = [F.col(f"media.{c}") for c in ("w", "h", "s", "vc", "ac", "d", "fps")]
-    ids = F.transform(feature_tokens(*cols, settings=s.features), lambda t: -1 - F.abs(F.hash(t)) % 2_000_000_000)
+    ids = F.transform(feature_tokens(*cols, settings=s.features), lambda t: -1 - F.shiftrightunsigned(F.xxhash64(t), 1))
     return rows.withColumn("features", ids).drop("media")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,11 +17,17 @@ def bucket(value: Column, base: float) -> Column:
     return F.when(ok, F.floor(F.ln(value) / F.lit(math.log(base))).cast("long"))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps; 32-bit numbers need 47 at most."""
+    """Euclid's steps, of which numbers up to n need 4.785 log10 n + 1.7 at most."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    most = F.ceil(F.log10(F.greatest(F.least(a, b), F.lit(1))) * 4.785 + 1.7).cast("int") + 1
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(47)),
+        F.sequence(F.lit(1), most),
         start,
         lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))),
         lambda s: s["a"],
@@ -29,8 +36,8 @@ def gcd(a: Column, b: Column) -> Column:
 
 def aspect_ratio(w: Column, h: Column) -> Column:
     """w:h in lowest terms, null where either is 0."""
-    g = F.greatest(gcd(w, h), F.lit(1))
-    ratio = F.concat_ws(":", F.floor(w / g).cast("long").cast("string"), F.floor(h / g).cast("long").cast("string"))
+    part = lambda x, g: F.floor(x / g).cast("long").cast("string")
+    ratio = once(gcd(w, h), lambda g: F.concat_ws(":", part(w, g), part(h, g)))
     return F.when((w > 0) & (h > 0), ratio)
 
 
@@ -46,25 +53,30 @@ def has_probe_data(vc: Column, w: Column, h: Column, d: Column, fps: Column) ->
 
 def feature_tokens(w: Column, h: Column, s: Column, vc: Column, ac: Column, d: Column, fps: Column, settings: FeatureSettings = FeatureSettings()) -> Column:
     """All tokens of a file's media features, in their fixed order."""
+    # Values and buckets are bound, not repeated: the expression would grow beyond what is compiled.
+    def near(name: str, value: Column, base: float) -> Column:
+        around = range(-settings.smoothing, settings.smoothing + 1)
+        shown = lambda i: F.array(*(F.when(i + k >= 0, F.concat(F.lit(name + ":"), (i + k).cast("string"))) for k in around))
+        return once(value, lambda v: once(bucket(v, base), shown))
+
     sized = (w > 0) & (h > 0)
     probed = has_probe_data(vc, w, h, d, fps)
-    near = lambda name, value, base: neighbours(name, bucket(value, base), settings.smoothing)
     positive = lambda v: F.when(v > 0, v.cast("double"))
     rate = F.when((d > 0) & (d < float("inf")), s * F.lit(8.0) / d)
-    plain = F.array_compact(
-        F.array(
-            F.when(vc != "", F.concat(F.lit("video_codec:"), vc)),
-            F.when(ac != "", F.concat(F.lit("audio_codec:"), ac)).when(probed, F.lit("audio_codec:none")),
-            F.concat(F.lit("aspect:"), aspect_ratio(w, h)),
-            F.when(sized, F.concat(F.lit("resolution:"), w.cast("long").cast("string"), F.lit("x"), h.cast("long").cast("string"))),
-        )
+    plain = F.array(
+        F.when(vc != "", F.concat(F.lit("video_codec:"), vc)),
+        F.when(ac != "", F.concat(F.lit("audio_codec:"), ac)).when(probed, F.lit("audio_codec:none")),
+        F.concat(F.lit("aspect:"), aspect_ratio(w, h)),
+        F.when(sized, F.concat(F.lit("resolution:"), w.cast("long").cast("string"), F.lit("x"), h.cast("long").cast("string"))),
     )
-    return F.concat(
-        plain,
-        near("fps", fps, settings.fps_base),
-        near("duration", positive(d), settings.bucket_base),
-        near("filesize", positive(s), settings.bucket_base),
-        near("bitrate", positive(rate), settings.bucket_base),
+    return F.array_compact(
+        F.concat(
+            plain,
+            near("fps", fps, settings.fps_base),
+            near("duration", positive(d), settings.bucket_base),
+            near("filesize", positive(s), settings.bucket_base),
+            near("bitrate", positive(rate), settings.bucket_base),
+        )
     )
 
 

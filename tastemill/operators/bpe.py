@@ -127,7 +127,7 @@ def merge_loop(weighted: list[tuple[str, int]], letters: list[str], n_texts: int
     return Tokenizer(tuple(vocabulary), tuple(merges))
 
 
-class _Applied:
+class Applied:
     def __init__(self, tokenizer: Tokenizer):
         self.ids = {t: i for i, t in enumerate(tokenizer.vocabulary)}
         self.merges = {(a, b): (rank, new) for rank, (a, b, new) in reversed(list(enumerate(tokenizer.merges)))}
@@ -163,7 +163,7 @@ def tokenize(rows: DataFrame, tokenizer: Tokenizer, column: str = "text", out: s
     at = rows.columns.index(column)
 
     def run(batches):
-        applied = _Applied(shared.value)
+        applied = Applied(shared.value)
         for batch in batches:
             ids = pa.array([applied.text(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tastemill.functions.media import once
+
 ROOT, EOL = "<ROOT>", "<EOL>"
 SPECIAL = (ROOT, EOL, " ", "/")
 
@@ -22,6 +24,10 @@ def word_tokens(text: Column) -> Column:
 
 def windows(tokens: Column, most: int) -> Column:
     """Every contiguous run of 1 to ``most`` tokens, each once."""
+    return F.array_distinct(once(tokens, lambda t: _windows(t, most)))
+
+
+def _windows(tokens: Column, most: int) -> Column:
     if most < 1:
         return F.filter(F.array(tokens), lambda _: F.lit(False))
     runs = F.transform(
@@ -31,22 +37,24 @@ def windows(tokens: Column, most: int) -> Column:
             F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, n)),
         ),
     )
-    return F.array_distinct(F.flatten(F.array_compact(runs)))
+    return F.flatten(F.array_compact(runs))
 
 
 def combinations(tokens: Column, most: int, special=SPECIAL) -> Column:
     """Every choice of 1 to ``most`` positions among tokens that are not special, tokens sorted, each once."""
-    plain = F.filter(tokens, lambda t: ~t.isin(list(special)))
-    nothing = F.filter(F.array(plain), lambda _: F.lit(False))
+    return F.array_distinct(once(F.filter(tokens, lambda t: ~t.isin(list(special))), lambda t: _combinations(t, most)))
+
+
+def _combinations(plain: Column, most: int) -> Column:
     if most < 1:
-        return nothing
+        return F.filter(F.array(plain), lambda _: F.lit(False))
     if most > 2:
         return _many(plain, most)
     out = F.transform(plain, lambda t: F.array(t))
     if most == 2:
         pairs = F.transform(plain, lambda x, i: F.transform(F.slice(plain, i + 2, F.size(plain)), lambda y: F.array_sort(F.array(x, y))))
         out = F.concat(out, F.flatten(pairs))
-    return F.array_distinct(out)
+    return out
 
 
 def _many(plain: Column, most: int) -> Column:
@@ -64,15 +72,32 @@ def _many(plain: Column, most: int) -> Column:
             )
         )
         rounds.append(level)
-    return F.array_distinct(F.transform(F.concat(*rounds), lambda c: F.array_sort(c["key"])))
+    return F.transform(F.concat(*rounds), lambda c: F.array_sort(c["key"]))
 
 
 def build(tokens: Column, most_window: int, most_combined: int, features: Column | None = None, features_combined: int = 0, special=SPECIAL) -> Column:
     """All n-grams of a row; path tokens and feature tokens are not combined with each other."""
-    parts = [windows(tokens, most_window), combinations(tokens, most_combined, special)]
+    return F.array_distinct(_all(tokens, most_window, most_combined, features, features_combined, special))
+
+
+def _all(tokens: Column, most_window: int, most_combined: int, features: Column | None, features_combined: int, special) -> Column:
+    """The same, with repeats."""
+    plain = F.filter(tokens, lambda t: ~t.isin(list(special)))
+    parts = [once(tokens, lambda t: _windows(t, most_window)), once(plain, lambda t: _combinations(t, most_combined))]
     if features is not None and features_combined > 0:
-        parts.append(combinations(features, features_combined, special))
-    return F.array_distinct(F.concat(*parts))
+        own = F.filter(features, lambda t: ~t.isin(list(special)))
+        parts.append(once(own, lambda t: _combinations(t, features_combined)))
+    return F.concat(*parts)
+
+
+def pairs(rows: DataFrame, key: str, tokens: Column, most_window: int, most_combined: int, features: Column | None = None, features_combined: int = 0, special=SPECIAL) -> DataFrame:
+    """(key, ngram) of each row, distinct within the row; ``key`` tells rows apart.
+
+    Rows are dealt by key first, so that repeats go by an aggregation in place and
+    not by comparing each n-gram of a row with all others.
+    """
+    every = rows.repartition(key).select(key, F.explode(_all(tokens, most_window, most_combined, features, features_combined, special)).alias("ngram"))
+    return every.groupBy(key, "ngram").agg(F.lit(1).alias("one")).drop("one")
 
 
 def exploded(rows: DataFrame, key: str, ngrams: str = "ngrams") -> DataFrame:

@@ -97,6 +97,14 @@ def next_pick(rows: DataFrame, selection_p: float | None = None, seed: int | Non
     return best.limit(1) if k == 0 or k >= rows.count() else best.offset(k).limit(1)
 
 
+def viewport(rows: DataFrame, cursor: int, height: int) -> DataFrame:
+    """The rows that are shown around the cursor, with their rank: ``height`` before it and twice as many from it on, in the order of the ranking."""
+    height = max(1, height)
+    first = max(0, cursor - height)
+    best = rows.orderBy(F.col("score").desc(), "path").offset(first).limit(cursor + 2 * height - first)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "path")) - 1 + first)
+
+
 def top_ngrams(pairs: DataFrame, influence: DataFrame, key: str, most: int = 50) -> DataFrame:
     """The ``most`` n-grams of each row by absolute influence."""
     order = Window.partitionBy(key).orderBy(F.abs("influence").desc(), "ngram")

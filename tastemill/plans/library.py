@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def shared_root(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share; a local session without one gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tastemill-")
+    return f"{root.rstrip('/')}/tastemill/{label}-{uuid.uuid4().hex}"
+
+
 EPOCH = 1_700_000_000
 NOW = EPOCH + 2_000_000_000
 EXTENSIONS = ("mkv", "MP4", "txt", "avi", "nfo")

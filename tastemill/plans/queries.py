@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +112,28 @@ def lexical_path_normalize(spark, d):
     return L.table(spark, d, "documents").select("doc_id", P.lexical_normalize(raw).alias("path"))
 
 
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/lib/' || lang || '/Doc_' || doc_id WHEN 1 THEN '../' || lang WHEN 2 THEN '/' || source ELSE '' END AS path FROM documents")
+def lexical_paths(spark, d):
+    """Absolute and relative paths with dots, empty components, and steps back over names, over nothing and over the root."""
+    made = [
+        F.concat(F.lit("/lib/./"), "source", F.lit("/../"), "lang", F.lit("//Doc_"), F.col("doc_id").cast("string"), F.lit("/./x/..")),
+        F.concat(F.lit("../"), "source", F.lit("/..//"), "lang", F.lit("/")),
+        F.concat(F.lit("/../../"), "source", F.lit("/a/b/../..")),
+        F.concat("lang", F.lit("/./..")),
+    ]
+    raw = F.element_at(F.array(*made), (F.col("doc_id") % 4 + 1).cast("int"))
+    return L.table(spark, d, "documents").select("doc_id", P.lexical_normalize(raw).alias("path"))
+
+
+@query(ORACLES["normalize_path_text"])
+def normalize_path_sql(spark, d):
+    """The same through the function that SQL statements can use."""
+    from tastemill.functions import sql
+
+    sql.register(spark)
+    return spark.sql("SELECT page_id, normalize_path(url) AS norm FROM {pages}", pages=L.table(spark, d, "pages"))
+
+
 @query(rf"WITH {L.FILES_SQL} SELECT path, '../../' || regexp_extract(path, '^/lib/(.*)$', 1) AS relative FROM files WHERE path NOT LIKE '/lib/src0/%' UNION ALL SELECT path, CASE WHEN path LIKE '/lib/src0/en/%' THEN regexp_extract(path, '^/lib/src0/en/(.*)$', 1) ELSE '../' || regexp_extract(path, '^/lib/src0/(.*)$', 1) END FROM files WHERE path LIKE '/lib/src0/%'")
 def path_relative_to(spark, d):
     return L.files(spark, d).select("path", P.relative_to(F.col("path"), F.lit("/lib/src0/en")).alias("relative"))
@@ -187,12 +207,26 @@ def human_size(spark, d):
     return L.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", size.alias("size"), M.human_size(size).alias("shown"))
 
 
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, (l_partkey * 37 + l_suppkey) << (l_linenumber * 6) AS size FROM lineitem),
+y AS (SELECT *, CASE WHEN size >= 1023.5 * 1024.0 ** 4 THEN 5 WHEN size >= 1023.5 * 1024.0 ** 3 THEN 4 WHEN size >= 1023.5 * 1024.0 ** 2 THEN 3 WHEN size >= 1023.5 * 1024.0 THEN 2 WHEN size >= 1024 THEN 1 ELSE 0 END AS p FROM x),
+z AS (SELECT *, size / 1024.0 ** p AS v FROM y)
+SELECT l_orderkey, l_linenumber, size, CASE WHEN p = 0 THEN size || 'B'
+       ELSE (CASE WHEN round(v, 2) < 10 THEN format('{:.2f}', round(v, 2)) WHEN round(v, 1) < 100 THEN format('{:.1f}', round(v, 1)) ELSE format('{:.0f}', round(v)) END) || substring('KMGTP', p, 1) END AS shown FROM z""")
+def human_size_units(spark, d):
+    size = (F.col("l_partkey") * 37 + F.col("l_suppkey")) * F.pow(F.lit(64.0), F.col("l_linenumber")).cast("long")
+    return L.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", size.alias("size"), M.human_size(size).alias("shown"))
+
+
 @query("SELECT event_id, CASE WHEN t >= 3600 THEN (t // 3600) || 'h' || (t % 3600 // 60) || 'm' || (t % 60) || 's' WHEN t >= 60 THEN (t // 60) || 'm' || (t % 60) || 's' ELSE t || 's' END AS shown FROM (SELECT event_id, CAST(round(value * 25) AS BIGINT) AS t FROM events)")
 def format_secs(spark, d):
     return L.table(spark, d, "events").select("event_id", M.format_secs(F.col("value") * 25).alias("shown"))
 
 
-@query()
+@query(f"""WITH {L.MEDIA_SQL}, r AS (SELECT *, CASE WHEN vc = '' THEN 'no video stream' WHEN l_linenumber = 3 THEN 'no duration' END AS reason FROM media)
+SELECT '/' || l_orderkey || '/' || l_linenumber AS path, reason, CASE WHEN reason IS NULL THEN w END AS w, CASE WHEN reason IS NULL THEN h END AS h,
+       CASE WHEN reason IS NULL THEN s END AS s, CASE WHEN reason IS NULL THEN vc END AS vc, CASE WHEN reason IS NULL THEN ac END AS ac,
+       CASE WHEN reason IS NULL THEN round(d * 100) / 100 END AS d, CASE WHEN reason IS NULL THEN round(fps * 100) / 100 END AS fps FROM r""")
 def probe_extract(spark, d):
     """Probe output made from each order line goes through the extraction; a third of it lacks something."""
     x = L.media(spark, d)
@@ -293,6 +327,12 @@ def cache_compact(spark, d):
     return cache.compact(_cache(spark, d), _keys(spark, d), _CACHE_NOW, _TTL).select("k", "u", "f.s")
 
 
+@query(f"WITH {L.CACHE_SQL}, {_NEWEST}, {_KEYS} SELECT k, CASE WHEN k IN (SELECT k FROM keys) THEN {_CACHE_NOW} ELSE u END AS u, s FROM newest")
+def cache_compact_forever(spark, d):
+    """A limit of 0 days: nothing expires."""
+    return cache.compact(_cache(spark, d), _keys(spark, d), _CACHE_NOW, 0).select("k", "u", "f.s")
+
+
 @query(f"WITH {L.CACHE_SQL}, {_NEWEST}, {_KEYS}, {_SURVIVE} SELECT k FROM keys WHERE k NOT IN (SELECT k FROM survivors)")
 def cache_missing(spark, d):
     return cache.missing(_keys(spark, d), cache.compact(_cache(spark, d), _keys(spark, d), _CACHE_NOW, _TTL))
@@ -317,8 +357,7 @@ def attach_features(spark, d):
 @query(f"WITH {L.CACHE_SQL}, {_NEWEST} SELECT k, u, s FROM newest")
 def cache_rewrite(spark, d):
     """The cache written as a generation of JSON lines and read back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tastemill-")
-    root = f"{root.rstrip('/')}/tastemill/cache-{uuid.uuid4().hex}"
+    root = L.shared_root(spark, "cache")
     cache.write_generation(_cache(spark, d), root)
     return cache.read(spark, root).select("k", "u", "f.s")
 
@@ -380,6 +419,16 @@ def bpe_tokenize(spark, d):
     return bpe.tokenize(x, bpe.train(x)).select("p_partkey", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
+@query("SELECT p_partkey, lower(p_name || ' ' || p_type) AS text FROM part")
+def bpe_token_strings(spark, d):
+    """Token strings of each text, put together again."""
+    from tastemill.functions import sql
+
+    x = _names(spark, d)
+    sql.register_tokenizer(spark, bpe.train(x))
+    return x.select("p_partkey", F.array_join(F.filter(F.call_function("token_strings", "text"), lambda t: ~t.isin("<ROOT>", "<EOL>")), "").alias("text"))
+
+
 @query(_CORE + "SELECT doc_id, string_agg(ngram, chr(10) ORDER BY ngram) AS ngrams FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(t, i, i + n - 1), '|') AS ngram FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM toks, (SELECT unnest(range(1, 6)) AS n) WHERE l = 1 AND len(t) >= n)) GROUP BY doc_id")
 def ngram_windows(spark, d):
     x = _data(spark, d).labelled
@@ -458,6 +507,35 @@ def nb_score(spark, d):
     return _six(R.naive_bayes(_data(spark, d)), "naive_bayes")
 
 
+#: Feature n-grams beside those of paths.
+_WITH_FEATURES = _CORE.replace("\ngrams AS (", "\npath_grams AS (").replace("\ndf AS (", f"""
+feats AS (SELECT doc_id, l, list_concat(list_filter([
+    CASE WHEN doc_id % 5 <> 0 THEN 'video_codec:' || string_split(path, '/')[4] END,
+    CASE WHEN doc_id % 5 <> 0 OR doc_id % 7 > 0 OR (doc_id % 3 > 0 AND doc_id % 2 > 0) OR doc_id % 4 = 0 THEN 'audio_codec:none' END,
+    CASE WHEN doc_id % 3 > 0 AND doc_id % 2 > 0 THEN CASE doc_id % 3 WHEN 1 THEN 'aspect:16:9' ELSE 'aspect:32:9' END END,
+    CASE WHEN doc_id % 3 > 0 AND doc_id % 2 > 0 THEN 'resolution:' || (doc_id % 3 * 640) || 'x360' END], lambda x: x IS NOT NULL),
+    list_concat(list_concat({_near('fps', '(CASE WHEN doc_id % 4 = 0 THEN 25.0 END)', 1.1)}, {_near('duration', '(doc_id % 7 * 100)', 1.5)}),
+    list_concat({_near('filesize', 'size', 1.5)}, {_near('bitrate', '(CASE WHEN doc_id % 7 > 0 THEN size * 8.0 / (doc_id % 7 * 100) END)', 1.5)}))) AS f
+  FROM corpus JOIN files USING (doc_id, path)),
+fpos AS (SELECT doc_id, l, unnest(f) AS x, unnest(range(1, len(f) + 1)) AS i FROM feats),
+grams AS (SELECT * FROM path_grams UNION SELECT doc_id, l, x FROM fpos
+  UNION SELECT a.doc_id, a.l, least(a.x, b.x) || '|' || greatest(a.x, b.x) FROM fpos a JOIN fpos b ON a.doc_id = b.doc_id AND a.l = b.l AND a.i < b.i),
+df AS (""")
+
+
+@query(_WITH_FEATURES + "SELECT doc_id, round(naive_bayes, 6) AS naive_bayes FROM nb")
+def nb_score_features(spark, d):
+    """Scores with n-grams of media features beside those of paths."""
+    number = F.col("doc_id")
+    values = {
+        "w": number % 3 * 640, "h": number % 2 * 360, "s": F.col("size"), "vc": F.when(number % 5 == 0, "").otherwise(F.get(F.split("path", "/"), 3)),
+        "ac": F.lit(""), "d": (number % 7 * 100).cast("double"), "fps": F.when(number % 4 == 0, 25.0),
+    }
+    tokens = M.feature_tokens(*values.values(), settings=FeatureSettings())
+    files = L.files(spark, d).withColumn("features", tokens)
+    return _six(R.naive_bayes(R.corpus(files, L.labels(spark, d), SETTINGS, features="features")), "naive_bayes")
+
+
 @query(_CORE + "SELECT doc_id, round(file_size, 6) AS score FROM raw")
 def file_size_score(spark, d):
     return _scored(spark, d, "file_size")
@@ -506,7 +584,7 @@ def score_by_dir(spark, d):
     return _six(ranking.by_directory(_ranked(spark, d)), "average_score")
 
 
-@query()
+@query(_CORE + "SELECT format('{:.3f}', file_size + dir_size + file_age + naive_bayes) || chr(9) || size || chr(9) || path AS line FROM scaled")
 def score_listing(spark, d):
     return ranking.listing_lines(_ranked(spark, d), ascending=True, sizes=True)
 
@@ -516,6 +594,13 @@ def next_pick(spark, d):
     return ranking.next_pick(_ranked(spark, d)).select("doc_id", "path")
 
 
+@query(_CORE + "SELECT doc_id, path, row_number() OVER (ORDER BY round(file_size + dir_size + file_age + naive_bayes, 9) DESC, path) - 1 AS rank FROM scaled ORDER BY rank LIMIT 60 OFFSET 10")
+def ranked_viewport(spark, d):
+    """The rows that a window of twenty shows around rank 30."""
+    rows = _ranked(spark, d).withColumn("score", F.round("score", 9))
+    return ranking.viewport(rows, 30, 20).select("doc_id", "path", F.col("rank").cast("long").alias("rank"))
+
+
 @query(_CORE + "SELECT doc_id, place, round(abs(influence), 6) AS weight FROM (SELECT doc_id, coalesce(influence, 0) AS influence, row_number() OVER (PARTITION BY doc_id ORDER BY abs(coalesce(influence, 0)) DESC) AS place FROM kept LEFT JOIN (SELECT ngram, ln((1.0 + cp) / (tp + v)) - ln((1.0 + cn) / (tn + v)) AS influence FROM model, tot) USING (ngram)) WHERE place <= 50")
 def explain_top_ngrams(spark, d):
     data, model, sums = _model(spark, d)
@@ -526,28 +611,62 @@ def explain_top_ngrams(spark, d):
 # -- streams ----------------------------------------------------------------------
 
 
-def _root(spark, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tastemill-")
-    return f"{root.rstrip('/')}/tastemill/{label}-{uuid.uuid4().hex}"
+def _streamed(rows: DataFrame, root: str, files: int, a_batch: int) -> DataFrame:
+    """The rows as a stream of so many files, with some of them in a batch."""
+    rows.repartition(files, "doc_id").write.parquet(f"{root}/arriving")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", a_batch).parquet(f"{root}/arriving")
 
 
 @query(ORACLES["nb_train_counts"])
 def stream_incremental_nb(spark, d):
-    """Labels arrive as a stream; the counts end as those of the batch."""
-    root, table = _root(spark, "stream"), L.table(spark, d, "labels")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/labels.parquet*")
-    marks = stream.select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("s"))
-    S.fold_labels(marks, _data(spark, d).labelled_pairs, "doc_id", root).awaitTermination()
+    """Labels arrive as a stream in four batches; the counts end as those of the batch."""
+    root = L.shared_root(spark, "stream")
+    S.fold_labels(_streamed(L.labels(spark, d), root, 8, 2), _data(spark, d).labelled_pairs, "doc_id", root).awaitTermination()
     return S.counts(spark, root).withColumn("ngram", ngrams.shown(F.col("ngram")))
 
 
-@query()
+@query("""
+WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS session, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), f AS (SELECT session, min(n) FILTER (WHERE event_type <> 'signup') AS seen, count(*) AS polls FROM e GROUP BY session
+), l AS (
+  SELECT session, CASE WHEN event_type = 'purchase' THEN 'Positive' WHEN event_type = 'error' THEN 'Negative' ELSE 'Skipped' END AS label,
+         row_number() OVER (PARTITION BY session ORDER BY n) AS k
+  FROM e JOIN f USING (session) WHERE n > seen AND seen <= 600 AND event_type IN ('purchase', 'error', 'signup'))
+SELECT session, label FROM l WHERE k = 1
+UNION ALL SELECT session, 'Skipped' FROM f WHERE coalesce(seen, polls + 1) > 600 AND polls >= 600""")
 def stream_status_fsm(spark, d):
     """Events as answers of a player, a session per user; each session's first label."""
-    root, table = _root(spark, "states"), L.table(spark, d, "events")
+    root, table = L.shared_root(spark, "states"), L.table(spark, d, "events")
     stream = spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet*")
     status = F.when(F.col("event_type") == "purchase", "stopped").when(F.col("event_type") == "error", "paused").when(F.col("event_type") != "signup", "playing")
     answers = stream.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), status.alias("status"), F.lit("a").alias("file"), F.lit("a").alias("wanted"))
     labels = S.status_labels(answers)
     labels.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("session string, label string").parquet(f"{root}/out")
+
+
+_HALF = L.LABELS_SQL.replace("FROM labels)", "FROM labels WHERE doc_id % 2 = 0)")
+_BUILD = (
+    _CORE[: _CORE.index("model AS (")].replace(L.LABELS_SQL, _HALF).replace("cand AS (", "cand0 AS (").replace("FROM cand UNION ALL", "FROM cand0 UNION ALL")
+    + """
+late AS (SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS s FROM labels WHERE doc_id % 2 = 1 AND doc_id IN (SELECT doc_id FROM cand0)),
+kept0 AS (SELECT doc_id, ngram FROM grams JOIN df USING (ngram) WHERE l = 0 AND df > 1),
+seen AS (SELECT ngram, s FROM grams JOIN marks USING (doc_id) WHERE l = 1 UNION ALL SELECT ngram, s FROM kept0 JOIN late USING (doc_id)),
+model AS (SELECT ngram, sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS cp, sum(CASE WHEN s <= 0 THEN 1 ELSE 0 END) AS cn FROM seen GROUP BY ngram),
+every AS (SELECT s FROM lab UNION ALL SELECT s FROM late),
+tot AS (SELECT (SELECT count(*) FROM every WHERE s > 0) AS p, (SELECT count(*) FROM every WHERE s <= 0) AS n, sum(cp) AS tp, sum(cn) AS tn, count(*) AS v FROM model),
+cand AS (SELECT * FROM cand0 WHERE doc_id NOT IN (SELECT doc_id FROM late)),
+kept AS (SELECT kept0.* FROM kept0 JOIN cand USING (doc_id)),
+"""
+    + _CORE[_CORE.index("nb AS (") :]
+)
+
+
+@query(_BUILD + "SELECT doc_id, path, round(file_size + dir_size + file_age + naive_bayes, 6) AS score FROM scaled")
+def stream_build_rank(spark, d):
+    """Half of the labels are known at the start, the others arrive in three batches; the ranking of what is left."""
+    root, every = L.shared_root(spark, "build"), L.labels(spark, d)
+    loop = S.Build(R.corpus(L.files(spark, d), every.where("doc_id % 2 = 0"), SETTINGS), SETTINGS, L.NOW, root)
+    loop.begin(_streamed(every.where("doc_id % 2 = 1"), root, 6, 2)).awaitTermination()
+    return _six(loop.ranked(spark).select("doc_id", "path", "score"), "score")

@@ -52,13 +52,15 @@ def corpus(files: DataFrame, labels: DataFrame, settings: RankSettings = RankSet
     if byte_pairs:
         tokenizer = bpe.train(own.select("text").unionByName(known.select("text")))
         own, known = (bpe.tokenize(x, tokenizer) for x in (own, known))
+        if features:  # their ids are longs
+            own, known = (x.withColumn("tokens", F.col("tokens").cast("array<long>")) for x in (own, known))
         special = tuple(range(len(bpe.SPECIAL)))
     else:
         own, known = (x.withColumn("tokens", ngrams.word_tokens(F.col("text"))) for x in (own, known))
     media = F.col(features) if features else None
-    grams = ngrams.build(F.col("tokens"), settings.windows, settings.combinations, media, settings.features.combinations, special)
-    own, known = own.withColumn("ngrams", grams), known.withColumn("ngrams", grams)
-    return Corpus(own.drop("ngrams", "tokens"), known.drop("ngrams", "tokens"), ngrams.exploded(own, key), ngrams.exploded(known, key), tokenizer)
+    shape = F.col("tokens"), settings.windows, settings.combinations, media, settings.features.combinations, special
+    grams = [ngrams.pairs(x, key, *shape) for x in (own, known)]
+    return Corpus(own.drop("tokens"), known.drop("tokens"), *grams, tokenizer)
 
 
 def naive_bayes(data: Corpus, key: str = "doc_id") -> DataFrame:

@@ -158,13 +158,13 @@ def test_cache_round_trip(spark, tmp_path):
     assert {r.k: (r.u, r.f.fps) for r in got.collect()} == {"a": (9, 24.0), "c": (100, None)}
     keys = spark.createDataFrame([("a",), ("z",)], "k string")
     kept = cache.compact(got, keys, 200, 0)
-    assert {r.k: r.u for r in kept.collect()} == {"a": 200}
+    assert {r.k: r.u for r in kept.collect()} == {"a": 200, "c": 100}  # a limit of 0 days drops nothing
     assert {r.k: r.u for r in cache.compact(got, keys, 100 + 86_399, 1).collect()} == {"a": 100 + 86_399, "c": 100}
     assert {r.k for r in cache.compact(got, keys, 100 + 86_400, 1).collect()} == {"a"}
     assert [r.k for r in cache.missing(keys, kept).collect()] == ["z"]
     fresh = keys.select("k", F.lit(300).cast("long").alias("u"), cache.default_media().alias("f"))
     merged = cache.merge(kept, fresh)
-    assert {r.k: (r.u, r.f.w) for r in merged.collect()} == {"a": (300, 0), "z": (300, 0)}
+    assert {r.k: (r.u, r.f.w) for r in merged.collect()} == {"a": (300, 0), "c": (100, 1280), "z": (300, 0)}
     cache.write_generation(spark.createDataFrame(got.collect(), got.schema), root)
     assert [p.name for p in (tmp_path / "c").iterdir()] == ["gen=4"]
     assert {r.k: (r.u, r.f.fps) for r in cache.read(spark, root).collect()} == {"a": (9, 24.0), "c": (100, None)}
@@ -262,6 +262,34 @@ def test_streamed_counts_equal_batch(spark):
     assert {r.label for r in Q.QUERIES["stream_status_fsm"](spark, SMALL).collect()} <= {"Positive", "Negative", "Skipped"}
 
 
+def test_build_loop_equals_one_pass_and_survives_a_repeated_batch(spark, tmp_path):
+    data = R.corpus(L.files(spark, SMALL), L.labels(spark, SMALL).where("doc_id % 2 = 0"), Q.SETTINGS)
+    late = L.labels(spark, SMALL).where("doc_id % 2 = 1")
+    loops = [S.Build(data, Q.SETTINGS, L.NOW, f"file://{tmp_path}/{k}") for k in range(2)]
+    for number, part in enumerate((late.where("doc_id % 3 = 0"), late.where("doc_id % 3 <> 0"), late.where("doc_id % 3 = 0"))):
+        loops[0].fold(part, number)  # the third batch brings labels that are known
+        if number == 1:
+            loops[0].fold(part, number)
+    loops[1].fold(late, 0)
+    got, whole = ({r.doc_id: round(r.score, 9) for r in loop.ranked(spark).collect()} for loop in loops)
+    assert got == whole and got
+    known = {r.doc_id for r in L.labels(spark, SMALL).collect()}
+    assert not known & set(got) and loops[0].picks(spark).count() == 3
+    best = min(got, key=lambda i: (-got[i], i))
+    assert got[loops[0].picks(spark).where("batch = 2").first().doc_id] == got[best]
+
+
+def test_functions_for_sql(spark):
+    from tastemill.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT normalize_path(\"/A b's--C/ x\") a, geometric_bucket(2.25D, 1.5D) b, geometric_bucket(0.5D, 1.5D) c, log_score(99D, 1, 10D) d, log_score(99D, 1, -10D) e").first()
+    assert (r.a, r.b, r.c, round(r.d, 9), round(r.e, 9)) == ("/a bs c/x", 2, None, 2.0, -2.0)
+    tokenizer = bpe.train(spark.createDataFrame([("hello world",)] * 10, "text string"))
+    sql.register_tokenizer(spark, tokenizer)
+    assert spark.sql("SELECT array_join(token_strings('hello world'), ',') t").first().t == "<ROOT>,hello, ,world,<EOL>"
+
+
 def test_every_query_has_rows_and_plain_columns(spark):
     import __spark_entry__ as entry
 
