@@ -52,12 +52,16 @@ def with_dir_count(entries: DataFrame) -> DataFrame:
 
 
 def minmax(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column scaled to 0..1; one whose range is not above EPSILON keeps its values."""
+    """Each column scaled to 0..1; one whose range is not above EPSILON keeps its values.
+
+    The ends come from an evaluation of their own, whose sums of doubles can
+    differ in the last bit, so what would fall outside is set to the end.
+    """
     ends = rows.agg(*(f(c).alias(f"__{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))))
     both = rows.crossJoin(F.broadcast(ends))
     for c in columns:
         lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
-        both = both.withColumn(c, F.when(hi - lo > EPSILON, (F.col(c) - lo) / (hi - lo)).otherwise(F.col(c)))
+        both = both.withColumn(c, F.when(hi - lo > EPSILON, F.least(F.greatest(F.lit(0.0), (F.col(c) - lo) / (hi - lo)), F.lit(1.0))).otherwise(F.col(c)))
     return both.select(*rows.columns)
 
 
