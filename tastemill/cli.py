@@ -70,7 +70,9 @@ def score(spark: SparkSession, a: argparse.Namespace, call: Callable[[str], str]
     files = found.select(F.col("path").alias("row"), "path", "size", F.unix_timestamp("mtime").alias("mtime_s"))
     entries = store.entries(spark).withColumn("path", absolute(F.lit(store.root), F.col("f")))
     labels = entries.select(F.concat_ws("#", F.col("pos").cast("string"), "path").alias("row"), "path", "s", F.col("m").alias("media"))
-    data = corpus(_featured(spark, files, a, s, now, call), _tokens(labels, s), s, key="row", byte_pairs=True, features="features")
+    # Tokens are kept: each branch of the ranking's plan would hold, compile and evaluate their expressions anew.
+    featured, known = _featured(spark, files, a, s, now, call).persist(), _tokens(labels, s).persist()
+    data = corpus(featured, known, s, key="row", byte_pairs=True, features="features")
     rows = rank(data, s, now, key="row")
     base = None if a.absolute else os.getcwd()
     if base is not None:
