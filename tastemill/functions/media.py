@@ -12,9 +12,8 @@ from tastemill.config import FeatureSettings
 
 
 def bucket(value: Column, base: float) -> Column:
-    """floor(ln v / ln base), null for what is below 1 or not finite."""
-    ok = value.isNotNull() & ~F.isnan(value) & (value >= 1) & (value < float("inf"))
-    return F.when(ok, F.floor(F.ln(value) / F.lit(math.log(base))).cast("long"))
+    """floor(ln v / ln base), null for what is below 1 or not finite; NaN is above all numbers."""
+    return F.when((value >= 1) & (value < float("inf")), F.floor(F.ln(value) / F.lit(math.log(base))).cast("long"))
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,31 +52,28 @@ def has_probe_data(vc: Column, w: Column, h: Column, d: Column, fps: Column) ->
 
 def feature_tokens(w: Column, h: Column, s: Column, vc: Column, ac: Column, d: Column, fps: Column, settings: FeatureSettings = FeatureSettings()) -> Column:
     """All tokens of a file's media features, in their fixed order."""
-    # Values and buckets are bound, not repeated: the expression would grow beyond what is compiled.
-    def near(name: str, value: Column, base: float) -> Column:
-        around = range(-settings.smoothing, settings.smoothing + 1)
-        shown = lambda i: F.array(*(F.when(i + k >= 0, F.concat(F.lit(name + ":"), (i + k).cast("string"))) for k in around))
-        return once(value, lambda v: once(bucket(v, base), shown))
+    # Only the ratio needs a lambda, which is interpreted; the rest compiles, and shared parts are evaluated once.
+    def near(name: str, value: Column, base: float) -> list[Column]:
+        index, around = bucket(value, base), range(-settings.smoothing, settings.smoothing + 1)
+        named = lambda k: F.concat(F.lit(name + ":"), (index + k).cast("string"))
+        return [F.when(index + k >= 0, named(k)) if k < 0 else named(k) for k in around]
 
     sized = (w > 0) & (h > 0)
     probed = has_probe_data(vc, w, h, d, fps)
     positive = lambda v: F.when(v > 0, v.cast("double"))
     rate = F.when((d > 0) & (d < float("inf")), s * F.lit(8.0) / d)
-    plain = F.array(
+    tokens = F.array(
         F.when(vc != "", F.concat(F.lit("video_codec:"), vc)),
         F.when(ac != "", F.concat(F.lit("audio_codec:"), ac)).when(probed, F.lit("audio_codec:none")),
         F.concat(F.lit("aspect:"), aspect_ratio(w, h)),
         F.when(sized, F.concat(F.lit("resolution:"), w.cast("long").cast("string"), F.lit("x"), h.cast("long").cast("string"))),
+        *near("fps", fps, settings.fps_base),
+        *near("duration", positive(d), settings.bucket_base),
+        *near("filesize", positive(s), settings.bucket_base),
+        *near("bitrate", positive(rate), settings.bucket_base),
     )
-    return F.array_compact(
-        F.concat(
-            plain,
-            near("fps", fps, settings.fps_base),
-            near("duration", positive(d), settings.bucket_base),
-            near("filesize", positive(s), settings.bucket_base),
-            near("bitrate", positive(rate), settings.bucket_base),
-        )
-    )
+    # No token occurs twice, so this drops nulls only; unlike array_compact it compiles.
+    return F.array_except(tokens, F.array(F.lit(None).cast("string")))
 
 
 def round2(x: Column) -> Column:
