@@ -443,12 +443,19 @@ def _resolved(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataF
     )
 
 
+def _by_cluster(classes: DataFrame, facts: DataFrame) -> DataFrame:
+    """``classes`` with the facts of their cluster, a row for each cluster; a large cluster is dealt to ``SALTS`` keys."""
+    spread = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = classes.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "d1", "d2"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["component", "salt"]).drop("salt")
+
+
 def _placed(classes: DataFrame, clusters: DataFrame) -> DataFrame:
     """rep, d1, d2, component, chunks, chunk of the classes that are in a cluster; the first of a cluster is in each of its chunks."""
     own = classes.select("rep", "d1", "d2", "n_shingles").join(clusters.withColumnRenamed("v", "d1"), "d1")
     totals = own.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"), F.min(_class("rep", "d1", "d2")).alias("first"))
     chunks = F.ceil(F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)).cast("int")
-    placed = own.join(totals.select("component", "first", chunks.alias("chunks")), "component")
+    placed = _by_cluster(own, totals.select("component", "first", chunks.alias("chunks")))
     chunk = F.pmod(F.xxhash64(F.lit(5), "d1", "d2"), F.col("chunks")).cast("int")
     whole = F.sequence(F.lit(0), F.col("chunks") - 1)
     placed = placed.withColumn("chunk", F.explode(F.when(_class("rep", "d1", "d2") == F.col("first"), whole).otherwise(F.array(chunk))))
@@ -461,10 +468,10 @@ def _rest(placed: DataFrame, found: DataFrame) -> DataFrame:
     own = own.join(found.withColumnRenamed("component", "of"), "v", "left").withColumn("of", F.coalesce("of", "v"))
     groups = own.groupBy("component", "of").agg(F.count("*").alias("n"))
     most = groups.groupBy("component").agg(F.max(F.struct("n", "of")).alias("m")).select("component", F.col("m.of").alias("main"))
-    own = own.join(most, "component").withColumn("rest", F.col("of") != F.col("main"))
+    own = _by_cluster(own, most).withColumn("rest", F.col("of") != F.col("main"))
     left = own.where("rest").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("docs") / TASK_DOCS, F.col("shingles") / TASK_SHINGLES)).cast("int")
-    own = own.join(left.select("component", parts.alias("parts")), "component")
+    own = _by_cluster(own, left.select("component", parts.alias("parts")))
     part = F.pmod(F.xxhash64(F.lit(9), "d1", "d2"), F.col("parts")).cast("int")
     # A set is one of all in its chunk's tasks, and one of the rest in the tasks of its part.
     all_ = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
