@@ -38,7 +38,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .storage import table
+from .storage import small_batches, table
 
 LEAF = 16_384
 THREADS = 2
@@ -241,6 +241,7 @@ def decode_column(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded again in one pass, without a shuffle."""
+    small_batches(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches):

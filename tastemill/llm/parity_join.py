@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import WHITE, hashed, mixed, sliced
-from .storage import discard, matching, settled, table, text_mark
+from .storage import discard, matching, settled, small_batches, table, text_mark
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -404,6 +404,7 @@ def _resolved(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataF
     """doc_id, mark, n_shingles, component_id, first (whether the row is of its component's first class and id): a row for each row of ``docs``."""
     num, den = similarity
     spark, made = docs.sparkSession, []
+    small_batches(spark)
     keyed = settled(_profiles(docs, words, num, den), "profiles", made)
     profiles = settled(keyed.drop("keys", "least"), "sizes")
     filled = profiles.where("n_shingles > 0 and doc_id is not null")

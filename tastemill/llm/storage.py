@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 
 #: Bytes of keys up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Rows and bytes of an Arrow batch where the session has Spark's default: its 10,000 texts are held several times over on either side.
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session, unless it sets their rows itself."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
+        spark.conf.set(size, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; what works on it gets small Arrow batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
