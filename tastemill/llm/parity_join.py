@@ -38,6 +38,10 @@ text fetched by its id is held against the class's digest, so ids that repeat
 with other texts do no harm.  No step gathers a key's rows: counts and minima are
 pre-aggregated, and rows return to their class by a salted join.
 
+Keys take more room than all else, so many of them are matched in parts, by their
+hash, one part after another.  A key is in one part only, and pairs are counted
+over all parts, so parts change no result; only one part is shuffled at a time.
+
 Defined results: a text without words, or null, has no shingles, is linked to
 nothing and is its own component; with fewer words than a shingle takes, the
 whole sequence is the one shingle.  Repeated rows are linked like other copies;
@@ -54,12 +58,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import WHITE, hashed, mixed, sliced
-from .storage import discard, matching, settled, small_batches, table, text_mark
+from .storage import discard, matching, settled, small_batches, table, text_mark, written_bytes
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -71,6 +76,8 @@ SALTS = 32
 KEY_SETS = 64
 #: Keys up to which a sieve is made, of SIEVE_BITS bits for each.
 SIEVED, SIEVE_BITS = 1 << 24, 16
+#: Bytes of written profiles that a part of the keys should have, and the most parts.
+PART_BYTES, MOST_PARTS = 1 << 28, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -308,11 +315,12 @@ def _sieved(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.withColumn("h", place("doc_id")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
-    """d1, key, least of the keys that can be among those of ``hubs``, by a bitmap of their bits."""
+def _shared_keys(profiles: DataFrame, hubs: DataFrame, part: int, parts: int) -> tuple[DataFrame, Broadcast | None]:
+    """d1, key, least of the part's keys that can be among those of ``hubs``, by a bitmap of their bits; what to destroy after use."""
     sieve = _sieve(hubs.select(F.shiftright("key", 8).alias("h")))
     if sieve is None:
-        return profiles.select("d1", F.explode(F.arrays_zip("keys", "least")).alias("k")).select("d1", F.col("k.keys").alias("key"), F.col("k.least").alias("least"))
+        listed = profiles.select("d1", F.explode(F.arrays_zip("keys", "least")).alias("k")).select("d1", F.col("k.keys").alias("key"), F.col("k.least").alias("least"))
+        return listed.where(_part_of("key", parts) == part), None
     bits, shared = sieve[0], profiles.sparkSession.sparkContext.broadcast(sieve[1])
 
     def run(batches):
@@ -320,13 +328,19 @@ def _shared_keys(profiles: DataFrame, hubs: DataFrame) -> DataFrame:
             listed = batch.column(1)
             keys = listed.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.asarray(listed.value_lengths().fill_null(0)))
-            h = (keys >> 8) & (bits - 1)
-            at = np.flatnonzero((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
+            own = np.flatnonzero((keys >> 40) % parts == part)
+            h = (keys[own] >> 8) & (bits - 1)
+            at = own[((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1) == 1]
             least = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             cols = [batch.column(0).take(pa.array(row[at])), pa.array(keys[at], pa.int64()), pa.array(least[at], pa.int16())]
             yield pa.RecordBatch.from_arrays(cols, ["d1", "key", "least"])
 
-    return profiles.select("d1", "keys", "least").mapInArrow(run, "d1 long, key long, least short")
+    return profiles.select("d1", "keys", "least").mapInArrow(run, "d1 long, key long, least short"), shared
+
+
+def _part_of(key: str, parts: int):
+    """The part of a key, by bits that a sieve does not use."""
+    return F.pmod(F.shiftright(key, 40), F.lit(parts))
 
 
 def _verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -376,6 +390,22 @@ def _class(rep: str, d1: str, d2: str):
     return F.struct(F.col(rep).alias("rep"), F.col(d1).alias("d1"), F.col(d2).alias("d2"))
 
 
+def _shared(profiles: DataFrame, part: int, parts: int, made: list[str]) -> DataFrame:
+    """key, d1, least, hub, star: the sets of each key of the part that several sets have, as a written table."""
+    # Most keys are of one set only; a bitmap of the others spares those the second shuffle.
+    spark, passing = profiles.sparkSession, []
+    keyed = profiles.select("d1", F.explode("keys").alias("key")).where(_part_of("key", parts) == part)
+    hubs = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top"), F.count("*").alias("n")).where("hub <> top")
+    hubs = settled(hubs.select("key", "hub", ((F.col("n") > KEY_SETS) | (F.col("key").bitwiseAND(F.lit(128)) != 0)).alias("star")), "hubs", passing)
+    found, sieve = _shared_keys(profiles, hubs, part, parts)
+    rows = found.join(hubs, "key").groupBy("key", "d1").agg(F.max("least").alias("least"), F.first("hub").alias("hub"), F.first("star").alias("star"))
+    rows = settled(rows, "shared", made)
+    if sieve is not None:
+        sieve.destroy()
+    discard(spark, passing[0])
+    return rows
+
+
 def _edges(profiles: DataFrame, made: list[str]) -> DataFrame:
     """a, b of digests: sets that are linked are connected by these edges.
 
@@ -385,12 +415,12 @@ def _edges(profiles: DataFrame, made: list[str]) -> DataFrame:
     which connects all it has.  So a linked pair is either in some star or has all
     its shared keys counted.
     """
-    # Most keys are of one set only; a bitmap of the others spares those the second shuffle.
-    keyed = profiles.select("d1", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top"), F.count("*").alias("n")).where("hub <> top")
-    hubs = settled(hubs.select("key", "hub", ((F.col("n") > KEY_SETS) | (F.col("key").bitwiseAND(F.lit(128)) != 0)).alias("star")), "hubs", made)
-    rows = _shared_keys(profiles, hubs).join(hubs, "key").groupBy("key", "d1").agg(F.max("least").alias("least"), F.first("hub").alias("hub"), F.first("star").alias("star"))
-    rows = settled(rows, "shared", made)
+    spark, paths = profiles.sparkSession, []
+    parts = min(MOST_PARTS, max(1, -(-written_bytes(profiles) // PART_BYTES)))
+    for part in range(parts):
+        rows = _shared(profiles, part, parts, paths)
+    made += paths
+    rows = spark.read.schema(rows.schema).parquet(*paths)
     stars = rows.where("star and d1 <> hub").select(F.col("d1").alias("a"), F.col("hub").alias("b"))
     few = rows.where("not star").select("key", "d1", "least")
     other = few.select("key", F.col("d1").alias("b"), F.col("least").alias("least_b"))

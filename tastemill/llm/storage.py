@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tastemill/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files, which would else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def settled(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends there.
 
@@ -61,12 +76,18 @@ def settled(df: DataFrame, label: str, made: list[str] | None = None) -> DataFra
     spark = df.sparkSession
     path = scratch(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     if made is not None:
         made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table that was just read, by their listing; very many for what is no table of files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a path below the shared folder; a missing one is no error."""
     jvm = spark.sparkContext._jvm

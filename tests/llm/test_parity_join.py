@@ -164,3 +164,15 @@ def test_edges(spark):
     assert J.linked_components(docs.limit(0)).count() == 0
     kept = J.keep_representatives(docs, 3, (90, 100))
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["0", "7", "None"]
+
+
+@pytest.mark.parametrize("sieved", [1 << 24, 0])
+def test_keys_are_matched_in_parts(spark, monkeypatch, sieved):
+    monkeypatch.setattr(J, "PART_BYTES", 1, raising=False)
+    monkeypatch.setattr(J, "SIEVED", sieved)
+    sizes, settled = [], J.settled
+    monkeypatch.setattr(J, "settled", lambda df, label, made=None: (out := settled(df, label, made), sizes.append(out.count()) if label == "shared" else None)[0])
+    rows = corpus(5)
+    got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
+    assert len(sizes) == J.MOST_PARTS and 0 < max(sizes) < sum(sizes) / 3

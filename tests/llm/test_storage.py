@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from tastemill.llm.storage import ARROW_BYTES, ARROW_ROWS, small_batches
+from tastemill.llm.graph import components
+from tastemill.llm.storage import ARROW_BYTES, ARROW_ROWS, settled, small_batches
 
 ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -31,3 +32,17 @@ def test_a_sessions_own_bound_stays(spark):
     before = own.conf.get(BYTES)
     small_batches(own)
     assert own.conf.get(ROWS) == "500" and own.conf.get(BYTES) == before
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (found.apply(k) for k in range(found.size())) if f.getName().endswith(".data")}
+
+
+def test_tables_that_are_written_leave_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = _shuffle_files(spark), spark.conf.get(name)
+    counted = settled(spark.range(5000).selectExpr("id % 1000 AS k").groupBy("k").count(), "counted")
+    found = components(spark.range(100).selectExpr("id AS a", "id + 1 AS b")).groupBy("component").count()
+    assert not _shuffle_files(spark) - before
+    assert counted.count() == 1000 and [tuple(r) for r in found.collect()] == [(0, 101)] and spark.conf.get(name) == was
