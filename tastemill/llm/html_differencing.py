@@ -20,8 +20,11 @@ text; inside an article only whole class names of those kinds count, and of
 headings and paragraphs the id doesn't.  An article whose class says that it is a
 reader's comment is one.  Of several article or main elements on a page,
 differencing decides: one of which a neighbour has every block belongs to the
-site, unless all do.  What lies outside them is not text.  A page with one such
-element keeps it whole, and on a page without one the unshared blocks are text.
+site, unless all do.  What lies outside them is not text.  A single such element is
+the text if it has a block that no neighbour shares, and then it stays whole; one
+that is shared altogether is the site's where the unshared blocks outside of it
+are longer, and these are the text.  On a page without one the unshared blocks
+are text.
 
 A host may hold a third of all pages: rows are dealt by range on (host, path,
 page_id), which splits a host where it must, and a task reads its range in order.
@@ -357,11 +360,14 @@ def _text(own: list[tuple[int, str]], masks: list[np.ndarray]) -> str:
     for mask in masks:
         shared |= mask
     mains = _mains(own)
+    rest = "\n".join(s for (kind, s), gone in zip(own, shared, strict=True) if kind == _OTHER and not gone)
     if mains:
         # An element of which nothing is the page's own is the site's, unless all are.
-        mains = {kind for (kind, _), gone in zip(own, shared, strict=True) if kind >= _TEXT and not gone} or mains
-        return "\n".join(s for kind, s in own if kind in mains)
-    return "\n".join(s for (kind, s), gone in zip(own, shared, strict=True) if kind == _OTHER and not gone)
+        unlike = {kind for (kind, _), gone in zip(own, shared, strict=True) if kind >= _TEXT and not gone}
+        whole = "\n".join(s for kind, s in own if kind in (unlike or mains))
+        # A single one is the site's where the page's own text outside of it is longer.
+        return rest if not unlike and len(mains) == 1 and len(rest) > len(whole) else whole
+    return rest
 
 
 def main_text(own: list[tuple[int, str]], neighbours: list[list[tuple[int, str]]]) -> str:
@@ -394,10 +400,9 @@ def differenced(pages: Iterable[tuple]) -> Iterator[tuple]:
             trail.clear()
             waiting, names, first, last = {}, {}, None, None
         host = own_host
-        main = len(_mains(own)) == 1  # it stays whole: no neighbour has a say
         mask = None
         if first is not None and own != first and own not in waiting:  # what waits is a copy of the first
-            mask = np.zeros(len(own), bool) if main else _against(own, first)
+            mask = _against(own, first)
         passed = first  # the first page of the run before, where a run begins here
         if first is None:
             first = own
@@ -413,10 +418,6 @@ def differenced(pages: Iterable[tuple]) -> Iterator[tuple]:
                 else:
                     yield from settle(key, [*masks, after], rows)
             waiting, names, first = still, {}, own
-        if main:
-            yield from settle(own, [], [(i, url)])
-            last = own
-            continue
         held = waiting.get(own)
         if held is None:
             own = tuple(names.setdefault(b, b) for b in own)

@@ -168,3 +168,13 @@ def test_long_pages_take_linear_time():
     a, b = np.arange(2000).astype(str).tolist(), np.arange(1, 4001, 2).astype(str).tolist()
     assert H.shared_lines(a, b).sum() == 1000
     assert list(itertools.islice(H.blocks("<article>x</article>"), 1)) == [(2, "x")]
+
+
+def test_differencing_decides_on_a_single_article_too():
+    site = "<article><h1>Guide to the site</h1></article>"
+    rows = [(k, f"/{k}", "h", H.blocks(f"{site}<div><p>Story {k} {'of some length ' * 9}</p><p>More {k}</p></div>")) for k in range(3)]
+    assert [t for _, _, t in H.differenced(rows)] == [f"Story {k} {'of some length ' * 9}".strip() + f"\nMore {k}" for k in range(3)]
+    page = lambda k: H.blocks(f"<p>By {k}</p><article><h1>Story</h1><p>The same line of each page</p><p>Own {k} {'words ' * 9}</p></article>")
+    whole = [f"Story\nThe same line of each page\nOwn {k} {'words ' * 9}".strip() for k in range(3)]
+    assert [t for _, _, t in H.differenced([(k, f"/{k}", "h", page(k)) for k in range(3)])] == whole
+    assert [t for _, _, t in H.differenced([(k, f"/{k}", "h", page(0)) for k in range(3)])] == [whole[0]] * 3
